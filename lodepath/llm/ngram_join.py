@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodepath.llm import textops as tx
-from lodepath.llm.common import cut, drop, ship, table
+from lodepath.llm.common import cut, ship, table
 from lodepath.llm.components import components
 
 BLOCK = 512
@@ -259,7 +259,7 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     met = cut(rows.repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(meet, "a bigint, b bigint, n int"))
     known = met.where("n >= 0").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"))
     cand = cut(components(met.where("n = -2").select("a", "b")))
-    reps = known.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    reps = cut(known.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
     want = cand.join(reps, cand.v == reps.key).select(F.col("v").alias("want"), "root", "rep")
     sizes = cand.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     bins = max(1, -(-cand.count() // BLOCK))
@@ -275,10 +275,11 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     )
     links = cut(placed.groupBy("unit", "i", "j").applyInPandas(search(threshold), "a bigint, b bigint"))
     joined = components(links)
-    out = known.join(joined, known.key == joined.v, "left").withColumn("group", F.coalesce("root", "key"))
-    least = out.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
-    whole = out.where("n_shingles > 0").join(least, "group").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    return whole.unionAll(out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = reps.join(joined, reps.key == joined.v, "left").select("key", "rep", F.coalesce("root", "key").alias("group"))
+    least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    named = cut(named.join(least, "group").select(F.col("key").alias("own"), "component_id"))  # one row a class, so copies weigh nothing
+    whole = known.where("n_shingles > 0").join(named, F.col("key") == F.col("own")).select("doc_id", "n_shingles", "component_id")
+    return whole.unionAll(known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
