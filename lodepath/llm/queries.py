@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from lodepath.llm import ngram_join
+from lodepath.llm import exact_topk, hnsw, lm_score, mixing, ngram_join, packing, quality, surrogates, toxicity, url_filter
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_exact_topk": exact_topk.op4_exact_topk,
+    "op5_hnsw": hnsw.op5_hnsw,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_pii_surrogates": surrogates.op8_pii_surrogates,
+    "op9_packing": packing.op9_packing,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 ORACLES = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op4_exact_topk": exact_topk.ORACLE,
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
 }

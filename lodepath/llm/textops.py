@@ -77,13 +77,13 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start, end and hash of each word, in order of the text."""
+def words(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, end and hash of each word, in order of the text; apart: which bytes separate."""
     n = len(data)
     if not n:
         e = np.zeros(0, np.int64)
         return e, e, e, e.astype(U)
-    space = SPACE[data]
+    space = apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.empty(n, bool)
