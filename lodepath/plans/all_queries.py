@@ -1,5 +1,6 @@
 """Every query module, imported so that it registers its queries."""
 
+from lodepath.plans import stats
 from lodepath.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "stats"]
