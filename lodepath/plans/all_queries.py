@@ -1,6 +1,6 @@
 """Every query module, imported so that it registers its queries."""
 
-from lodepath.plans import joins, stats
+from lodepath.plans import grid_queries, joins, sequence_queries, stats
 from lodepath.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "joins", "stats"]
+__all__ = ["ORACLES", "QUERIES", "grid_queries", "joins", "sequence_queries", "stats"]
