@@ -137,7 +137,7 @@ def fingerprint_posterior(spark, d):
 def point_jaccard(spark, d):
     s = events(spark, d).groupBy("user_id", "event_type").agg(F.collect_set("k").alias("s"))
     a, b = s.where("event_type = 'click'").select("user_id", F.col("s").alias("a")), s.where("event_type = 'view'").select("user_id", F.col("s").alias("b"))
-    return a.join(b, "user_id").select("user_id", F.size(F.array_intersect("a", "b")).alias("common"), r6(radio.jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
+    return a.join(b, "user_id").select("user_id", F.size(F.array_intersect("a", "b")).cast("bigint").alias("common"), r6(radio.jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
 
 
 @query("magnetic_features", f"WITH {EV}, m AS (SELECT event_id, value / 10 AS mx, k / 3.0 AS my, 20.0 AS mz, 0.1 * (k % 5) AS ux, 0.2 AS uy, 9.7 AS uz FROM ev), f AS (SELECT event_id, sqrt(mx * mx + my * my + mz * mz) AS b, (mx * ux + my * uy + mz * uz) / sqrt(ux * ux + uy * uy + uz * uz) AS bz FROM m) SELECT event_id, round(b, 6) AS total, round(bz, 6) AS vertical, round(sqrt(greatest(b * b - bz * bz, 0)), 6) AS horizontal FROM f WHERE b > 1 AND b < 200")

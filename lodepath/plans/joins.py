@@ -219,7 +219,7 @@ def regression_compare(spark, d):
 
     m = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("id"), F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("median_cm"), F.avg((F.col("o_totalprice") > 300000).cast("int")).alias("wrong"))
     base = m.withColumn("y", F.col("y") + 1)
-    return compare(m, base, ["id", "y"], {"median_cm": (0.01, 100.0), "wrong": (0.0, 0.005)}).select("id", "y", "metric", r6("v").alias("v"), "verdict")
+    return compare(m, base, ["id", "y"], {"median_cm": (0.01, 100.0), "wrong": (0.0, 0.005)}).select("id", F.col("y").cast("bigint").alias("y"), "metric", r6("v").alias("v"), "verdict")
 
 
 @query("ladder_level", "WITH m AS (SELECT l_suppkey AS id, avg(l_quantity) AS median_cm, avg(CAST(l_quantity > 45 AS INT)) AS wrong FROM lineitem GROUP BY 1), l AS (SELECT * FROM (VALUES (1, 'usable', 27.0, 0.12), (2, 'target', 25.5, 0.1), (3, 'top', 25.0, 0.09)) t(ord, level, hi, w)) SELECT m.id, coalesce(max_by(level, ord), 'none') AS level FROM m LEFT JOIN l ON median_cm <= hi AND wrong <= w GROUP BY m.id")
