@@ -72,10 +72,11 @@ def offset_search(pairs: DataFrame, by: list[str], ref: str, tgt: str, low: int,
 
 
 def linear_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """by, n, slope, intercept, r, mae: least squares; slope 1 where x doesn't vary."""
-    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("sxx"), F.covar_pop(x, y).alias("sxy"), F.corr(x, y).alias("r"))
-    slope = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")).otherwise(F.lit(1.0))
-    return sums.withColumn("slope", slope).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx")).select(*by, "n", "slope", "intercept", "r")
+    """by, n, slope, intercept, r: least squares; slope 1 where x doesn't vary."""
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("sxx"), F.covar_pop(x, y).alias("sxy"), F.var_pop(y).alias("syy"))
+    slope = F.when(F.col("sxx") > 0, F.try_divide("sxy", "sxx")).otherwise(F.lit(1.0))
+    r = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
+    return sums.withColumn("slope", slope).withColumn("r", r).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx")).select(*by, "n", "slope", "intercept", "r")
 
 
 def jaccard(a: Column, b: Column) -> Column:
