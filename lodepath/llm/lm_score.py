@@ -189,7 +189,8 @@ def scorer(hot: np.ndarray, counts: np.ndarray, vocab: int, model: LogBilinear):
                 at = find(h)
                 known = at >= 0
                 word = np.where(known & (at < v), at, v)
-                lm = np.bincount(row, model.log10(previous(row, word, v + 1), word), minlength=rows)
+                add = lambda at, w: np.bincount(at, w, minlength=rows).astype(np.float64)  # noqa: E731  (integers where nothing is counted)
+                lm = add(row, model.log10(previous(row, word, v + 1), word))
                 rest_hot = known & (at >= v)
                 r, x = row[~known], h[~known]
                 o = np.lexsort((x, r))
@@ -200,7 +201,7 @@ def scorer(hot: np.ndarray, counts: np.ndarray, vocab: int, model: LogBilinear):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, rows), pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row[known], minlength=rows)), pa.array(lm),
-                        pa.array(np.bincount(row[known], logc[at[known]], minlength=rows)), pa.array(np.bincount(row[rest_hot], logc[at[rest_hot]], minlength=rows)),
+                        pa.array(add(row[known], logc[at[known]])), pa.array(add(row[rest_hot], logc[at[rest_hot]])),
                         pa.array(np.bincount(row[word == v], minlength=rows)), tx.lists(x[first], many), tx.lists(times, many),
                     ],
                     names=["doc_id", "n_tokens", "n_known", "lm", "logc", "logc_rest", "n_rest", "rare", "times"],
