@@ -122,3 +122,35 @@ def lattice_best(ranges: DataFrame, by: list[str], step: float, reach: float) ->
     cost = grid.join(ranges, by).groupBy(*by, "gx", "gy").agg(F.sum(over * over).alias("cost"))
     best = F.row_number().over(Window.partitionBy(*by).orderBy("cost", "gx", "gy"))
     return cost.withColumn("_r", best).where("_r = 1").select(*by, F.col("gx").alias("x"), F.col("gy").alias("y"), "cost")
+
+
+def segment_gap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Distance of two segments (ax, ay, bx, by) that don't cross: the least of the four ends' distances."""
+    ends = [sc.segment_distance(a[0], a[1], *b), sc.segment_distance(a[2], a[3], *b), sc.segment_distance(b[0], b[1], *a), sc.segment_distance(b[2], b[3], *a)]
+    return F.least(*ends)
+
+
+def adjacent(edges: DataFrame, uid: str, reach: float) -> DataFrame:
+    """a, b, gap of units (edges: uid, ax, ay, bx, by) whose outlines come within `reach`, a < b."""
+    lo = lambda p, q: F.floor((F.least(p, q) - reach) / (reach * 4))
+    hi = lambda p, q: F.floor((F.greatest(p, q) + reach) / (reach * 4))
+    e = edges.withColumn("_gx", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx")))).withColumn("_gy", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))))
+    c = ("ax", "ay", "bx", "by")
+    p = e.select("_gx", "_gy", F.col(uid).alias("a"), *[F.col(x).alias(f"p{x}") for x in c])
+    q = e.select("_gx", "_gy", F.col(uid).alias("b"), *[F.col(x).alias(f"q{x}") for x in c])
+    gap = segment_gap(tuple(F.col(f"p{x}") for x in c), tuple(F.col(f"q{x}") for x in c))
+    return p.join(q, ["_gx", "_gy"]).where("a < b").withColumn("_d", gap).where(F.col("_d") <= reach).groupBy("a", "b").agg(F.min("_d").alias("gap"))
+
+
+def parallels(corridors: DataFrame, cid: str, angle: float, share: float, most: int) -> DataFrame:
+    """a, b of corridors (cid, heading, length) whose lines are within an angle and whose lengths are within a share; the first `most` (the report's own limit).
+
+    Lengths are binned by the share, so that only neighbouring bins meet."""
+    import math
+
+    b = F.floor(F.log("length") / -math.log(1 - share))
+    x = corridors.withColumn("_b", b)
+    p = x.withColumn("_b", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))).select("_b", F.col(cid).alias("a"), F.col("heading").alias("ha"), F.col("length").alias("la"))
+    q = x.select("_b", F.col(cid).alias("b"), F.col("heading").alias("hb"), F.col("length").alias("lb"))
+    near = F.abs(F.col("la") - F.col("lb")) <= share * F.greatest("la", "lb")
+    return p.join(q, "_b").where((F.col("a") < F.col("b")) & near & (sc.line_angle(F.col("ha"), F.col("hb")) <= angle)).select("a", "b").orderBy("a", "b").limit(most)

@@ -1,6 +1,6 @@
 """Every query module, imported so that it registers its queries."""
 
-from lodepath.plans import grid_queries, joins, kernel_queries, sequence_queries, stats
+from lodepath.plans import grid_queries, joins, kernel_queries, sequence_queries, stats, venue_queries
 from lodepath.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "grid_queries", "joins", "kernel_queries", "sequence_queries", "stats"]
+__all__ = ["ORACLES", "QUERIES", "grid_queries", "joins", "kernel_queries", "sequence_queries", "stats", "venue_queries"]
