@@ -1,7 +1,8 @@
 """As-of, bracket and interval joins.
 
 As-of joins are a union of both sides and one window by key and time: one shuffle, linear, no matter how many rows
-match.
+match. With `block`, keys are cut into blocks of time that are sorted apart, so that a key which holds a large part
+of all rows isn't one task; what lies before and after a block comes from a table of one row a block.
 """
 
 from __future__ import annotations
@@ -18,11 +19,24 @@ def _both(left: DataFrame, right: DataFrame, by: list[str], time: str, values: l
     return a.unionByName(b)
 
 
-def bracket(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
+def bracket(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], block: float | None = None) -> DataFrame:
     """left with structs `prev` (last right row at or before) and `next` (first at or after), null if there is none.
 
     A right row at exactly the time is both. Of right rows of equal time, prev is the largest and next the
     smallest in order of `values`."""
+    if block is not None:
+        at = F.floor(F.col(time) / block)
+        a, b = left.withColumn("_blk", at), right.where(F.col(time).isNotNull()).withColumn("_blk", at)
+        keys = [*by, "_blk"]
+        row = F.struct(F.col(time).alias("_t"), *values)
+        ends = b.groupBy(*keys).agg(F.max(row).alias("_last"), F.min(row).alias("_first"))
+        blocks = a.select(*keys).distinct().join(ends, keys, "full")
+        w = Window.partitionBy(*by).orderBy("_blk")
+        before = F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        around = blocks.select(*keys, before.alias("_before"), after.alias("_after"))
+        inside = bracket(a, b, keys, time, values)
+        return inside.join(around, keys, "left").select(*left.columns, F.coalesce("prev", "_before").alias("prev"), F.coalesce("next", "_after").alias("next"))
     every = _both(left, right, by, time, values)
     order = [F.col("_t")]
     down = Window.partitionBy(*by).orderBy(*order).rangeBetween(Window.unboundedPreceding, 0)
@@ -31,17 +45,17 @@ def bracket(left: DataFrame, right: DataFrame, by: list[str], time: str, values:
     return out.select("_row.*", "prev", "next")
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], direction: str = "backward", tolerance: float | None = None, exact: bool = True, prefix: str = "r_") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], direction: str = "backward", tolerance: float | None = None, exact: bool = True, prefix: str = "r_", block: float | None = None) -> DataFrame:
     """left with the matching right row's time and values (prefixed), null where none is within the tolerance (inclusive).
 
     direction: backward, forward or nearest (ties go backward). exact=False passes over rows of the very time."""
     if not exact:
         shifted = right.withColumn(time, F.col(time) + (1 if direction == "backward" else -1))
-        got = asof(left, shifted, by, time, values, direction, None, True, prefix)
+        got = asof(left, shifted, by, time, values, direction, None, True, prefix, block)
         t = F.col(f"{prefix}{time}") - (1 if direction == "backward" else -1)
         keep = F.lit(True) if tolerance is None else F.abs(F.col(time) - t) <= tolerance
         return got.withColumn(f"{prefix}{time}", t).select(*left.columns, *[F.when(keep, F.col(f"{prefix}{c}")).alias(f"{prefix}{c}") for c in (time, *values)])
-    both = bracket(left, right, by, time, values)
+    both = bracket(left, right, by, time, values, block)
     back, fore = F.col("prev"), F.col("next")
     if direction == "backward":
         hit = back
@@ -55,12 +69,12 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, values: li
     return both.withColumn("_h", hit).select(*left.columns, F.col("_h._t").alias(f"{prefix}{time}"), *[F.col(f"_h.{v}").alias(f"{prefix}{v}") for v in values])
 
 
-def interpolate(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], max_gap: float | None = None, beyond: float = 0.0, prefix: str = "r_") -> DataFrame:
+def interpolate(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], max_gap: float | None = None, beyond: float = 0.0, prefix: str = "r_", block: float | None = None) -> DataFrame:
     """left with right's numeric values interpolated linearly at its time.
 
     max_gap bounds the distance of the two bracketing rows; beyond: how far past the first or last row its value
     still holds. Null elsewhere."""
-    both = bracket(left, right, by, time, values)
+    both = bracket(left, right, by, time, values, block)
     t, a, b = F.col(time), F.col("prev"), F.col("next")
     gap = b["_t"] - a["_t"]
     share = F.when(gap > 0, (t - a["_t"]) / gap).otherwise(F.lit(0.0))

@@ -38,6 +38,16 @@ def test_bracket_takes_ends_and_ties(spark):
     assert alignment.interpolate(a, b, ["k"], "t", ["v"], 9).where("t = 5").first().r_v is None
 
 
+def test_blocks_change_nothing(spark):
+    rng = random.Random(8)
+    a = spark.createDataFrame([(rng.choice("xy"), rng.randint(0, 400)) for _ in range(120)], "k string, t long")
+    b = spark.createDataFrame([(rng.choice("xy"), rng.randint(100, 300), float(i)) for i in range(40)], "k string, t long, v double")
+    for how in ("backward", "forward", "nearest"):
+        one, two = (sorted(map(str, alignment.asof(a, b, ["k"], "t", ["v"], how, 60, block=w).collect())) for w in (None, 50))
+        assert one == two
+    assert sorted(map(str, alignment.interpolate(a, b, ["k"], "t", ["v"], 40, 10).collect())) == sorted(map(str, alignment.interpolate(a, b, ["k"], "t", ["v"], 40, 10, block=50).collect()))
+
+
 def test_asof_on_empty_sides(spark):
     a, b = spark.createDataFrame([("s", 5)], "k string, t long"), spark.createDataFrame([], "k string, t long, v double")
     assert alignment.asof(a, b, ["k"], "t", ["v"]).first().r_v is None
