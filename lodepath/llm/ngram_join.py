@@ -4,9 +4,10 @@
 2. Sharding. Sets that can be linked differ in at most d shingles, d following from size and threshold. Cut the
    shingle space into d + 1 parts: linked sets agree in at least one part (pigeonhole), so classes meet in the
    shard of that part's content. Sizes are in geometric intervals, and a set also signs for the next lower one.
-   Signatures are merged in the scan first, so a group of copies sends one row a task, whatever its size.
-3. Classes that meet anywhere form candidate clusters; these are cut into blocks of at most BLOCK classes, and
-   each pair of blocks is one task. Cost within one cluster is quadratic in its *different* near texts.
+   A class signs once a task, so a group of copies sends one row a task, whatever its size.
+3. Of classes that meet, those pairs go whose parity bitmaps differ in more bits than linked sets can differ in
+   shingles (a bound, so no link goes). The rest form candidate clusters; these are cut into blocks of about BLOCK
+   classes, and each pair of blocks is one task. Cost within a cluster is quadratic in its *different* near texts.
 4. T-occurrence search in each task: inverted lists over the block, each query merging its short lists and
    probing its long ones by binary search (DivideSkip), exact overlap in the end. Texts already joined are
    skipped, so a task returns at most one link a class and never all pairs.
@@ -30,6 +31,9 @@ from lodepath.llm.components import components
 BLOCK = 512
 FLUSH = 1 << 20
 MU = 0.5
+WORDS = 16  # 64-bit words of a bitmap
+CROWD = 64  # a signature shared by more classes than this in one task, or by more than HUGE in all, joins them unseen
+HUGE = 8192
 
 
 class Intervals:
@@ -82,15 +86,23 @@ def signatures(rows: int, doc: np.ndarray, x: np.ndarray, t: int) -> tuple[np.nd
     return np.concatenate(out_r), np.concatenate(out_s)
 
 
+def bitmaps(rows: int, doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """rows x WORDS: each shingle flips one bit, so two bitmaps differ in at most as many bits as their sets in shingles."""
+    at = tx.mix(x ^ tx.U(0x3C79AC492BA7B653)) % tx.U(64 * WORDS)
+    odd = np.bincount(doc * (64 * WORDS) + at.astype(np.int64), minlength=rows * 64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, -1), axis=1).view(np.uint64)
+
+
 def scan(k: int, t: int):
-    """Rows (a, b, n): n >= 0 for a document (class, doc_id, set size), -1 for (signature, class), -2 for an edge."""
+    """Rows (a, b, n, bits): n >= 0 for a document (class, doc_id, set size), -1 for (signature, class), -2 for an edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(a, b, n):
-            return pa.RecordBatch.from_arrays([a, b, pa.array(np.asarray(n, np.int32))], names=["a", "b", "n"])
+        def out(a, b, n, bits=None):
+            n = pa.array(np.asarray(n, np.int32))
+            return pa.RecordBatch.from_arrays([a, b, n, pa.nulls(len(n), pa.binary()) if bits is None else bits], names=["a", "b", "n", "bits"])
 
         def flush():
             sig, key = (np.concatenate(z) for z in zip(*held, strict=True))
@@ -98,11 +110,13 @@ def scan(k: int, t: int):
             order = np.lexsort((key, sig))
             sig, key = sig[order], key[order]
             first = np.r_[True, sig[1:] != sig[:-1]]
-            yield out(tx.signed(sig[first]), tx.signed(key[first]), np.full(first.sum(), -1))
-            pivot = key[first][np.cumsum(first) - 1]
-            more = np.flatnonzero(pivot != key)
-            if len(more):
-                e = np.unique(np.stack([key[more], pivot[more]], 1), axis=0)
+            run = np.cumsum(first) - 1
+            crowd = np.bincount(run)[run] > CROWD
+            send = first | ~crowd
+            yield out(tx.signed(sig[send]), tx.signed(key[send]), np.full(send.sum(), -1))
+            if crowd.any():
+                e = np.unique(np.stack([key[crowd], key[first][run[crowd]]], 1), axis=0)
+                e = e[e[:, 0] != e[:, 1]]
                 yield out(tx.signed(e[:, 0]), tx.signed(e[:, 1]), np.full(len(e), -2))
 
         size = 0
@@ -114,7 +128,8 @@ def scan(k: int, t: int):
                 doc, x = tx.shingle_sets(rows, doc, h, k)
                 key = set_keys(rows, doc, x)
                 n = np.bincount(doc, minlength=rows)
-                yield out(tx.signed(key), ids.slice(lo, rows), n)
+                bits = pa.array([m.tobytes() for m in bitmaps(rows, doc, x)], pa.binary())
+                yield out(tx.signed(key), ids.slice(lo, rows), n, bits)
                 new = np.zeros(rows, bool)
                 for i, v in enumerate(key.tolist()):
                     if n[i] and v not in sent:
@@ -136,25 +151,96 @@ def scan(k: int, t: int):
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (a, b): documents and edges as they are, and an edge for each class that shares a signature."""
-    last_sig, pivot = None, None
+    """From rows sorted by (a, b): documents and edges as they are, and of the signatures those that classes share."""
+    held = None  # the last row, while it is alone in its run
+
     for batch in batches:
         n = batch.column(2).to_numpy()
-        keep = pa.array(n != -1)
-        yield batch.filter(keep)
+        yield batch.filter(pa.array(n != -1))
         at = np.flatnonzero(n == -1)
         if not len(at):
             continue
         sig, key = batch.column(0).to_numpy()[at], batch.column(1).take(pa.array(at)).to_numpy()
-        first = np.r_[sig[0] != last_sig, sig[1:] != sig[:-1]]
-        run = np.cumsum(first)
-        heads = np.r_[0 if pivot is None else pivot, key[first]]
-        own = heads[run]
-        last_sig, pivot = sig[-1], own[-1]
-        more = own != key
-        if more.any():
-            e = np.unique(np.stack([key[more], own[more]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(np.full(len(e), -2, np.int32))], names=["a", "b", "n"])
+        if held is not None:
+            sig, key = np.r_[held[0], sig], np.r_[held[1], key]
+        alone = held is None or held[2]
+        same = sig[1:] == sig[:-1]
+        shared = np.r_[False, same] | np.r_[same, False]
+        if not alone:
+            shared[0] = False  # the held row has gone out already
+        last_shared = bool(np.r_[not alone, same][-1]) if len(sig) == 1 else bool(same[-1])
+        held = (sig[-1], key[-1], not last_shared)
+        if shared.any():
+            k = int(shared.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(sig[shared]), pa.array(key[shared]), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names=["a", "b", "n", "bits"])
+
+
+def near_pairs(key: np.ndarray, size: np.ndarray, bits: np.ndarray, run: np.ndarray, t: int) -> np.ndarray:
+    """Edges (key, key) that connect, within each run, all pairs that may be linked by size and bitmap."""
+    counts = np.bincount(run)
+    out = []
+    for c in np.unique(counts[counts > 1]):
+        rows = np.flatnonzero(counts[run] == c).reshape(-1, c)  # runs of one length at a time
+        if c > HUGE:
+            out.append(np.stack([rows[:, 1:].ravel(), np.repeat(rows[:, 0], c - 1)], 1))
+            continue
+        for gap in range(1, c):
+            a, b = rows[:, : c - gap].ravel(), rows[:, gap:].ravel()
+            n = size[a].astype(np.int64) + size[b]
+            fit = (size[a] * 100 >= t * size[b]) & (size[b] * 100 >= t * size[a])
+            a, b, n = a[fit], b[fit], n[fit]
+            diff = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+            fit = diff * (100 + t) <= n * (100 - t)
+            out.append(np.stack([a[fit], b[fit]], 1))
+            if c > CROWD and gap % 64 == 0:
+                out = [forest(np.concatenate(out), len(run))]
+    e = forest(np.concatenate(out), len(run)) if out else np.zeros((0, 2), np.int64)
+    return np.unique(np.stack([key[e[:, 0]], key[e[:, 1]]], 1), axis=0) if len(e) else np.zeros((0, 2), np.int64)
+
+
+def forest(e: np.ndarray, n: int) -> np.ndarray:
+    """Star edges (vertex, least vertex) of the components of edges over n vertices."""
+    if not len(e):
+        return e
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[e[:, 0]], label[e[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, label[e[:, 0]], low)
+        np.minimum.at(new, label[e[:, 1]], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    v = np.flatnonzero(label != np.arange(n))
+    return np.stack([v, label[v]], 1)
+
+
+def prune(t: int):
+    """From (sig, key, size, bits) sorted by (sig, key): edges between classes that may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table):
+            sig = table.column(0).to_numpy()
+            bits = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(len(sig), WORDS)
+            e = near_pairs(table.column(1).to_numpy(), table.column(2).to_numpy(), bits, np.cumsum(np.r_[True, sig[1:] != sig[:-1]]) - 1, t)
+            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            sig = batch.column(0).to_numpy()
+            last = int(np.searchsorted(sig, sig[-1]))  # where the last run begins: it may go on
+            if last:
+                yield out(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    return run
 
 
 def t_occurrence(sets: list[np.ndarray], query: np.ndarray, index: np.ndarray, t: int) -> list[tuple[int, int]]:
@@ -254,12 +340,15 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(scan(k, threshold), "a bigint, b bigint, n int")
+    cols = "a bigint, b bigint, n int, bits binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = cut(rows.repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(meet, "a bigint, b bigint, n int"))
+    met = cut(docs.mapInArrow(scan(k, threshold), cols).repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(meet, cols))
     known = met.where("n >= 0").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"))
-    cand = cut(components(met.where("n = -2").select("a", "b")))
-    reps = cut(known.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
+    classes = cut(met.where("n > 0").groupBy(F.col("a").alias("key")).agg(F.min("b").alias("rep"), F.min("n").alias("size"), F.min("bits").alias("bits")))
+    reps = classes.select("key", "rep")
+    shared = met.where("n = -1").select("a", "b").join(classes, F.col("b") == F.col("key")).select("a", "key", "size", "bits")
+    may = shared.repartition(parts, "a").sortWithinPartitions("a", "key").mapInArrow(prune(threshold), "a bigint, b bigint")
+    cand = cut(components(may.unionAll(met.where("n = -2").select("a", "b"))))
     want = cand.join(reps, cand.v == reps.key).select(F.col("v").alias("want"), "root", "rep")
     sizes = cand.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     bins = max(1, -(-cand.count() // BLOCK))
