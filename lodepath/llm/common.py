@@ -74,7 +74,3 @@ def drop(df: DataFrame) -> None:
 def hold_out(key: str, mod: int, remainder: int):
     """True for rows whose crc32(key as text) leaves that remainder."""
     return (F.crc32(F.col(key).cast("string")) % mod == remainder)
-
-
-def int_param(spark: SparkSession, name: str, default: int) -> int:
-    return int(spark.conf.get(name, str(default)))

@@ -37,16 +37,21 @@ HUGE = 8192
 
 
 class Intervals:
-    """Size intervals and the number of parts for each, for Jaccard similarity of at least t / 100."""
+    """Size intervals, the most shingles by which linked sets differ, and the number of parts, for similarity of t / 100.
+
+    There are more parts than shingles that may differ, by about as many as a set leaves empty: so linked sets agree
+    in a part that isn't empty, unless both have as many empty parts as are spare; such sets sign for empty parts too."""
 
     def __init__(self, t: int, most: int):
         self.t, lows, parts = t, [1], []
         while lows[-1] <= most:
             high = lows[-1] * 100 // t
             both = high + high * 100 // t
-            parts.append(both * (100 - t) // (100 + t) + 1)
+            differ = both * (100 - t) // (100 + t)
+            empty = (differ + 1) * np.exp(-lows[-1] / (differ + 1))
+            parts.append((differ, differ + 1 + int(np.ceil(1.5 * empty + 3 * np.sqrt(empty)) if empty > 0.01 else 0)))
             lows.append(high + 1)
-        self.lows, self.parts = np.array(lows[:-1]), np.array(parts)
+        self.lows, (self.differ, self.parts) = np.array(lows[:-1]), np.array(parts).T
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, side="right") - 1
@@ -60,7 +65,7 @@ def set_keys(rows: int, doc: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: int, doc: np.ndarray, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every part of every non-empty set, for its own interval and the one below."""
+    """(row, signature) of the parts of every non-empty set, for its own interval and the one below."""
     sizes = np.bincount(doc, minlength=rows)
     some = np.flatnonzero(sizes)
     if not len(some):
@@ -79,10 +84,15 @@ def signatures(rows: int, doc: np.ndarray, x: np.ndarray, t: int) -> tuple[np.nd
         part = (place[keep] % m[d].astype(tx.U)).astype(np.int64)
         total = np.zeros(base[-1], tx.U)
         np.add.at(total, base[d] + part, content[keep])
+        filled = np.zeros(base[-1], bool)
+        filled[base[d] + part] = True
         row = np.repeat(np.arange(rows), m)
+        spare = m - np.where(use, steps.differ[np.maximum(inst, 0)], 0)
+        bare = np.bincount(row[~filled], minlength=rows) >= spare
+        sign = filled | bare[row]
         at = (np.arange(base[-1]) - base[row]).astype(tx.U)
-        out_r.append(row)
-        out_s.append(tx.mix(total + tx.mix(inst[row].astype(tx.U) * tx.U(1 << 32) + at)))
+        out_r.append(row[sign])
+        out_s.append(tx.mix(total + tx.mix(inst[row].astype(tx.U) * tx.U(1 << 32) + at))[sign])
     return np.concatenate(out_r), np.concatenate(out_s)
 
 
@@ -221,24 +231,40 @@ def prune(t: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        crowd = None  # (signature, first class) of a run too long to hold, whose classes are joined unseen
+
+        def edges(e: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
-        def out(table: pa.Table):
+        def near(table: pa.Table) -> pa.RecordBatch:
             sig = table.column(0).to_numpy()
             bits = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint64).reshape(len(sig), WORDS)
-            e = near_pairs(table.column(1).to_numpy(), table.column(2).to_numpy(), bits, np.cumsum(np.r_[True, sig[1:] != sig[:-1]]) - 1, t)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+            return edges(near_pairs(table.column(1).to_numpy(), table.column(2).to_numpy(), bits, np.cumsum(np.r_[True, sig[1:] != sig[:-1]]) - 1, t))
+
+        def star(key: np.ndarray) -> pa.RecordBatch:
+            return edges(np.stack([key, np.full(len(key), crowd[1])], 1))
 
         for batch in batches:
+            if crowd is not None:
+                k = int(np.searchsorted(batch.column(0).to_numpy(), crowd[0], side="right"))
+                yield star(batch.column(1).to_numpy()[:k])
+                batch = batch.slice(k)
+                crowd = crowd if not len(batch) else None
             if not len(batch):
                 continue
             sig = batch.column(0).to_numpy()
             last = int(np.searchsorted(sig, sig[-1]))  # where the last run begins: it may go on
-            if last:
-                yield out(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            if last or held and held[-1].column(0)[0].as_py() != sig[0]:
+                yield near(pa.Table.from_batches([*held, batch.slice(0, last)]))
                 held = []
             held.append(batch.slice(last))
+            if sum(map(len, held)) > HUGE:
+                key = np.concatenate([h.column(1).to_numpy() for h in held])
+                crowd = (int(sig[-1]), int(key[0]))
+                yield star(key)
+                held = []
         if held:
-            yield out(pa.Table.from_batches(held))
+            yield near(pa.Table.from_batches(held))
 
     return run
 
