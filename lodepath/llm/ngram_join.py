@@ -28,7 +28,8 @@ from lodepath.llm import textops as tx
 from lodepath.llm.common import cut, ship, table
 from lodepath.llm.components import components
 
-BLOCK = 512
+BLOCK = 512  # classes of a block
+VOLUME = 1 << 18  # and shingles: a block has no more than about either
 FLUSH = 1 << 20
 MU = 0.5
 WORDS = 16  # 64-bit words of a bitmap
@@ -376,10 +377,12 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     may = shared.repartition(parts, "a").sortWithinPartitions("a", "key").mapInArrow(prune(threshold), "a bigint, b bigint")
     cand = cut(components(may.unionAll(met.where("n = -2").select("a", "b"))))
     want = cand.join(reps, cand.v == reps.key).select(F.col("v").alias("want"), "root", "rep")
-    sizes = cand.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
-    bins = max(1, -(-cand.count() // BLOCK))
+    weight = F.greatest(F.count("*") / BLOCK, F.sum("size") / VOLUME)
+    weights = cut(cand.join(classes, cand.v == classes.key).groupBy("root").agg(weight.alias("members")))
+    sizes = weights.where("members > 1")
+    bins = int(weights.where("members <= 1").agg(F.ceil(F.coalesce(F.sum("members"), F.lit(0.0)))).first()[0]) + 1
     sets = docs.join(want, docs.doc_id.eqNullSafe(want.rep)).select("want", "root", "text").mapInArrow(grams(k), "key bigint, root bigint, grams binary")
-    blocks = F.expr(f"cast(ceil(members / {BLOCK}.0) as int)")
+    blocks = F.expr("cast(ceil(members) as int)")
     placed = (
         sets.join(sizes, "root", "left")
         .withColumn("nb", F.coalesce(blocks, F.lit(0)))
