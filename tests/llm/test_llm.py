@@ -426,6 +426,22 @@ def test_lm_is_normalised_and_better_than_unigrams():
     assert (counts[h, w] * m.log10(h, w)).sum() > (counts[h, w] * uni[w]).sum() * 0.7
 
 
+def test_lm_grows_with_the_corpus(spark):
+    """Words beyond the 1023 most frequent are told apart by their context, and updates follow the pairs."""
+    held = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 == 2][:400]
+    learnt = [i for i in range(100_000) if zlib.crc32(str(i).encode()) % 7 != 2][:6000]
+    rng = np.random.default_rng(3)
+    docs = [(d, " ".join(f"a{i} b{i}" for i in rng.integers(0, 1500, 50))) for d in learnt]
+    docs += [(d, f"a{i} b{i if k < 200 else (i + 1) % 1500}") for k, (d, i) in enumerate(zip(held, [*range(0, 1400, 7)] * 2, strict=True))]
+    got = lm_score.lm_score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).toPandas().set_index("doc_id")["score"]
+    assert got[held[:200]].mean() > got[held[200:]].mean() + 0.5
+    took = []
+    for n in (200_000, 800_000):
+        pairs = spark.createDataFrame(pd.DataFrame({"p": rng.permutation(1000 * 1001)[:n], "n": 1 + np.arange(n) % 9}))
+        took.append(lm_score.trained(pairs, 1000)[1])
+    assert took[1]["pairs"] == 4 * took[0]["pairs"] and took[1]["updates"] >= 3.5 * took[0]["updates"] and lm_score.vocabulary(10**10) > 100 * lm_score.VOCAB
+
+
 # --- the pipeline
 
 
