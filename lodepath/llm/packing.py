@@ -1,7 +1,9 @@
 """Packing by lexical retrieval: a sharded BM25 index returns unused neighbours of a window's seed document.
 
-A shard is a run of rows of one input partition, of about SHARD bytes of text; its inverted index, its windows and
-its output stay in one task, so nothing is shuffled and memory is bounded. Within a shard each window's seed is
+Documents are dealt to shards by content: they are sorted by two minima of their words' hashes, which near copies and
+related texts share with a chance of their Jaccard similarity, so neither file layout nor partitions decide who stands
+beside whom (ties and range borders apart). A shard is a run of about SHARD bytes of that order; its inverted index,
+its windows and its output stay in one task, so memory is bounded. Within a shard each window's seed is
 the document that opens it (or runs on into it); the best unused neighbours follow until the window is full. What
 doesn't fit runs on into the next window. A shard's last window is cut into powers of two, which need no padding.
 
@@ -28,7 +30,6 @@ from lodepath.llm.common import ship, table
 SHARD = 1 << 21
 WINDOW = 1024
 CACHE = 1_500_000
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 OPEN = np.ones(256, bool)  # bytes after which a space before them opens a piece; lead bytes of Unicode's spaces don't
 OPEN[[0x20, *range(0x09, 0x0E), 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -140,15 +141,17 @@ class Bm25:
         self.weight = idf[t] * tf * (K1 + 1) / (tf + norm[self.docs]) if len(t) else np.zeros(0)
         shared = df[t] > 1
         d, t = self.docs[shared], t[shared]
-        order = np.lexsort((t, -idf[t], d))
+        order = np.lexsort((t, d))
         self.terms, self.own = t[order], np.searchsorted(d[order], np.arange(rows + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of all documents against the rarest shared terms of the seed."""
-        t = self.terms[self.own[seed] : min(self.own[seed] + QUERY_TERMS, self.own[seed + 1])]
+        """Of all documents against all shared terms of the seed."""
+        t = self.terms[self.own[seed] : self.own[seed + 1]]
         if not len(t):
             return np.zeros(self.rows)
-        at = np.concatenate([np.arange(self.ptr[x], self.ptr[x + 1]) for x in t])
+        n = self.ptr[t + 1] - self.ptr[t]
+        to = np.cumsum(n)
+        at = np.repeat(self.ptr[t] - (to - n), n) + np.arange(to[-1])
         return np.bincount(self.docs[at], self.weight[at], minlength=self.rows)
 
 
@@ -227,6 +230,25 @@ def pack(path: str, window: int, last_id: int):
     return run
 
 
+def content_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with two minima of their words' hashes; 0 for texts without words."""
+    for batch in batches:
+        for lo, hi, data, offs in tx.slices(batch.column(1)):
+            doc, _, _, h = tx.words(data, offs)
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+            keys = np.zeros((2, hi - lo), tx.U)
+            if len(first):
+                for k in range(2):
+                    keys[k, doc[first]] = np.minimum.reduceat(tx.mix(h ^ tx.U(0x9E3779B97F4A7C15 * (k + 1) & tx.MASK)), first)
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *map(pa.array, keys.view(np.int64))], names=["doc_id", "text", "a", "b"])
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) in order of content; a large group of equal keys is split by text and id."""
+    order = ["a", "b", F.xxhash64("text"), "doc_id"]
+    return docs.mapInArrow(content_keys, "doc_id bigint, text string, a bigint, b bigint").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
 def packing(docs: DataFrame, tokenizer: str, window: int = WINDOW, last_id: int = 0) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text, any others) in sequences of at most `window` tokens.
 
@@ -237,7 +259,8 @@ def packing(docs: DataFrame, tokenizer: str, window: int = WINDOW, last_id: int
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack(tokenizer, window, last_id), SCHEMA)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return dealt(docs).mapInArrow(pack(tokenizer, window, last_id), SCHEMA)
 
 
 def tokenizer_path() -> str:

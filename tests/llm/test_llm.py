@@ -370,6 +370,25 @@ def test_packing_is_a_round_trip(spark, odd, none):
         assert g["length"].sum() % n == 0
 
 
+def test_packing_finds_copies_in_other_partitions(spark):
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(40_000)}" for _ in range(60)) for _ in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*base, *base])], "doc_id long, text string").repartitionByRange(6, "doc_id")
+    got = packing.packing(docs, packing.tokenizer_path()).toPandas()
+    seqs = got.groupby("doc_id")["sequence_id"].agg(set)
+    near = sum(any(abs(x - y) <= 1 for x in seqs[i] for y in seqs[i + 600]) for i in range(600))
+    assert near >= 0.9 * 600
+
+
+def test_bm25_scores_with_all_terms():
+    import pyarrow as pa
+
+    texts = [" ".join(f"t{i}" for i in range(30)), " ".join(f"t{i}" for i in range(29, 40)), *(f"t{i} t{i} x{i}" for i in range(30)), *(f"t29 y{i}" for i in range(20))]
+    _, hi, data, offs = next(textops.slices(pa.array(texts)))
+    doc, _, _, h = textops.words(data, offs)
+    assert (packing.Bm25(hi, doc, h).scores(0) > 0).all()
+
+
 def test_encoder_equals_whole_texts():
     import pyarrow as pa
     from tokenizers import Tokenizer
