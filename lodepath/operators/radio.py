@@ -54,10 +54,13 @@ def softmax(df: DataFrame, by: list[str], score: str, temperature: float = 1.0)
     return df.withColumn("_e", e).withColumn("p", F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
-def log_likelihood(observed: DataFrame, ranges: DataFrame, oid: str, pid: str, tag: str, miss: float, unexpected: float, sd: float = 6.0) -> DataFrame:
-    """oid, pid, ll of points' tag ranges (low, high): squared distance outside the range, and a penalty for each tag not seen or not known."""
+def log_likelihood(observed: DataFrame, ranges: DataFrame, oid: str, pid: str, tag: str, miss: float, unexpected: float, sd: float = 6.0, blocks: int = 1) -> DataFrame:
+    """oid, pid, ll of points' tag ranges (low, high): squared distance outside the range, and a penalty for each tag not seen or not known.
+
+    A tag's pairs are spread over `blocks` of points, to each of which all observations go."""
     o, r = observed.select(oid, tag, "rssi"), ranges.select(pid, tag, "low", "high")
-    seen = o.join(r, tag).withColumn("_z", F.greatest(F.col("low") - F.col("rssi"), F.col("rssi") - F.col("high"), F.lit(0.0)) / sd)
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    seen = o.withColumn("_b", each).join(r.withColumn("_b", F.pmod(F.xxhash64(pid), F.lit(blocks)).cast("int")), [tag, "_b"]).withColumn("_z", F.greatest(F.col("low") - F.col("rssi"), F.col("rssi") - F.col("high"), F.lit(0.0)) / sd)
     both = seen.groupBy(oid, pid).agg(F.sum(-0.5 * F.col("_z") ** 2).alias("_s"), F.count("*").alias("_k"))
     n_o, n_r = o.groupBy(oid).agg(F.count("*").alias("_no")), r.groupBy(pid).agg(F.count("*").alias("_nr"))
     return both.join(n_o, oid).join(n_r, pid).select(oid, pid, (F.col("_s") - miss * (F.col("_nr") - F.col("_k")) - unexpected * (F.col("_no") - F.col("_k"))).alias("ll"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -43,44 +45,53 @@ def grid_heal(spark, d):
     return grids.merge_capped(a, b, ["row", "col"], "b").select("row", "col", "n", "action", F.round("mean", 5).alias("mean"), F.round("sigma", 5).alias("sigma"))
 
 
+@query("grid_heal_all")
+def grid_heal_all(spark, d):
+    """grid_heal over all cells and sessions: the first two are the survey, the others live."""
+    c = cells(spark, d)
+    a, b = grids.aggregate(c.where("session < 2"), ["row", "col"], ["b"]), grids.aggregate(c.where("session >= 2"), ["row", "col"], ["b"])
+    return grids.merge_capped(a, b, ["row", "col"], "b").select("row", "col", "n", "action", F.round("mean", 5).alias("mean"), F.round("sigma", 5).alias("sigma"))
+
+
 MEANS = "g AS (SELECT row, col, avg(b) AS v, count(*) AS n FROM c WHERE (row * 3 + col) % 4 <> 0 GROUP BY ALL)"
 
 
-def means(spark, d):
-    return cells(spark, d).where("(row * 3 + col) % 4 <> 0").groupBy("row", "col").agg(F.avg("b").alias("v"), F.count("*").alias("n"))
+def means(spark, d, holes=True):
+    c = cells(spark, d)
+    return (c.where("(row * 3 + col) % 4 <> 0") if holes else c).groupBy("row", "col").agg(F.avg("b").alias("v"), F.count("*").alias("n"))
 
 
 @query("grid_idw_fill", f"""WITH {SAMPLES}, {CELLS}, {MEANS}, t AS (SELECT r AS row, k AS col FROM (SELECT unnest(range(11)) AS r), (SELECT unnest(range(11)) AS k)), h AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.row = t.row AND g.col = t.col)), p AS (SELECT h.row, h.col, 50 * sqrt(pow(h.row - g.row, 2) + pow(h.col - g.col, 2)) AS dist, v FROM h JOIN g ON abs(h.row - g.row) <= 3 AND abs(h.col - g.col) <= 3)
 SELECT row, col, round(sum(v / (dist * dist)) / sum(1 / (dist * dist)), 6) AS filled, round(min(dist), 6) AS nearest FROM p WHERE dist <= 150 GROUP BY ALL""")
-def grid_idw_fill(spark, d):
+def grid_idw_fill(spark, d, holes=True):
     side = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(10).cast("bigint")))
     t = spark.range(1).select(side.alias("row")).withColumn("col", side)
-    return grids.fill_idw(means(spark, d), t, [], "v", 50.0, 150.0).select("row", "col", r6("filled").alias("filled"), r6("nearest").alias("nearest"))
+    return grids.fill_idw(means(spark, d, holes), t, [], "v", 50.0, 150.0).select("row", "col", r6("filled").alias("filled"), r6("nearest").alias("nearest"))
 
 
 @query("grid_bilinear", f"""WITH {EV}, {SAMPLES}, {CELLS}, {MEANS}, p AS (SELECT event_id, least(greatest(value / 50 - 0.5, 0), 10) AS cx, least(greatest(k / 10.0 - 0.5, 0), 10) AS cy FROM ev), q AS (SELECT *, CAST(least(floor(cx), 9) AS BIGINT) AS c0, CAST(least(floor(cy), 9) AS BIGINT) AS r0 FROM p),
 s AS (SELECT event_id, r0 + dr AS row, c0 + dc AS col, CASE dr WHEN 1 THEN cy - r0 ELSE 1 - (cy - r0) END * CASE dc WHEN 1 THEN cx - c0 ELSE 1 - (cx - c0) END AS w FROM q, (SELECT unnest([0, 1]) AS dr), (SELECT unnest([0, 1]) AS dc))
 SELECT event_id, round(CASE WHEN sum(CASE WHEN v IS NULL THEN 0 ELSE w END) >= 0.25 THEN sum(w * v) / sum(CASE WHEN v IS NULL THEN 0 ELSE w END) END, 5) AS value FROM s LEFT JOIN g USING (row, col) GROUP BY event_id""")
-def grid_bilinear(spark, d):
+def grid_bilinear(spark, d, holes=True):
     """Points are scaled so that both axes have cells of 50."""
     p = events(spark, d).select("event_id", F.col("value").alias("x"), (F.col("k") * 5.0).alias("y"))
-    return grids.sample_bilinear(p, means(spark, d), [], "event_id", "v", 50.0, 11, 11).select("event_id", F.round("value", 5).alias("value"))
+    return grids.sample_bilinear(p, means(spark, d, holes), [], "event_id", "v", 50.0, 11, 11).select("event_id", F.round("value", 5).alias("value"))
 
 
 @query("grid_blur", f"WITH {SAMPLES}, {CELLS}, {MEANS} SELECT a.row, a.col, round(sum(exp(-(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) / 2.0) * b.v) / sum(exp(-(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) / 2.0)), 6) AS blurred FROM g a JOIN g b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL")
-def grid_blur(spark, d):
-    return grids.blur(means(spark, d), [], "v", 1.0, 2).select("row", "col", r6("blurred").alias("blurred"))
+def grid_blur(spark, d, holes=True):
+    return grids.blur(means(spark, d, holes), [], "v", 1.0, 2).select("row", "col", r6("blurred").alias("blurred"))
 
 
 @query("grid_dilation", f"WITH {SAMPLES}, {CELLS}, {MEANS} SELECT DISTINCT row + dr AS row, col + dc AS col FROM g, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc) WHERE n > 140 AND dr * dr + dc * dc <= 4")
-def grid_dilation(spark, d):
-    return grids.grow(means(spark, d).where("n > 140"), [], 2)
+def grid_dilation(spark, d, holes=True):
+    return grids.grow(means(spark, d, holes).where("n > 140"), [], 2)
 
 
 @query("raster_runs", f"""WITH {SAMPLES}, {CELLS}, {MEANS}, a AS (SELECT row, min(col) AS c0, max(col) AS c1 FROM (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS q FROM g) GROUP BY row, q)
 SELECT c0, c1, min(row) AS r0, max(row) AS r1 FROM (SELECT *, row - row_number() OVER (PARTITION BY c0, c1 ORDER BY row) AS h FROM a) GROUP BY c0, c1, h""")
-def raster_runs(spark, d):
-    return grids.runs(means(spark, d), [])
+def raster_runs(spark, d, holes=True):
+    return grids.runs(means(spark, d, holes), [])
 
 
 @query("change_detection", f"WITH {EV}, g AS (SELECT user_id, avg(value - 250) AS mean, count(*) AS n, max_by(k, (t, event_id)) AS s FROM ev GROUP BY user_id) SELECT user_id, n, round(mean, 6) AS mean FROM g WHERE n >= 8 AND abs(mean) >= greatest(2, s)")
@@ -90,10 +101,10 @@ def change_detection(spark, d):
 
 
 @query("corridor_coverage", f"WITH {SAMPLES}, {CELLS}, {MEANS}, p AS (SELECT k AS corridor, r AS point FROM (SELECT unnest(range(12)) AS k), (SELECT unnest(range(14)) AS r)), h AS (SELECT corridor, point, max(CASE WHEN g.n >= 100 THEN 1 ELSE 0 END) AS ok FROM p LEFT JOIN g ON g.row = point AND abs(g.col - corridor) <= 1 GROUP BY ALL) SELECT corridor, round(avg(ok), 6) AS covered FROM h GROUP BY corridor")
-def corridor_coverage(spark, d):
+def corridor_coverage(spark, d, holes=True):
     p = spark.range(12).select(F.col("id").alias("corridor"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(13).cast("bigint"))).alias("point"))
     p = p.select("corridor", "point", F.col("point").alias("row"), F.col("corridor").alias("col"), F.lit(0).alias("across_row"), F.lit(1).alias("across_col"))
-    return grids.coverage(p, means(spark, d), ["corridor"], 100).select("corridor", r6("covered").alias("covered"))
+    return grids.coverage(p, means(spark, d, holes), ["corridor"], 100).select("corridor", r6("covered").alias("covered"))
 
 
 @query("session_offsets", f"""WITH {SAMPLES}, {CELLS}, g AS (SELECT session, row, col, avg(b + session * 3) AS v, count(*) AS n FROM c GROUP BY ALL HAVING count(*) >= 5), p AS (SELECT a.session AS a, b.session AS b, b.v - a.v AS dv FROM g a JOIN g b ON a.row = b.row AND a.col = b.col AND a.session < b.session), m AS (SELECT a, b, median(dv) AS med, count(*) AS n FROM p GROUP BY ALL)
@@ -126,13 +137,22 @@ def tag_range_fix(spark, d):
 s AS (SELECT oid, pid, sum(-0.5 * pow(greatest(low - rssi, rssi - high, 0) / 6, 2)) AS s, count(*) AS n FROM o JOIN r USING (tag) GROUP BY ALL), l AS (SELECT s.oid, s.pid, s - 0.5 * (nr - n) - 0.25 * (no - n) AS ll FROM s JOIN (SELECT oid, count(*) AS no FROM o GROUP BY oid) USING (oid) JOIN (SELECT pid, count(*) AS nr FROM r GROUP BY pid) USING (pid)), e AS (SELECT *, exp(ll - max(ll) OVER (PARTITION BY oid)) AS e FROM l)
 SELECT oid, pid, round(ll, 6) AS ll, round(e / sum(e) OVER (PARTITION BY oid), 6) AS p FROM e""")
 def fingerprint_posterior(spark, d):
-    e = events(spark, d)
-    o = e.where("user_id < 30").groupBy(F.col("user_id").alias("oid"), (F.col("k") % 20).alias("tag")).agg((-F.avg("value") / 5).alias("rssi"))
-    r = e.where("user_id % 10 = 5").groupBy(F.col("user_id").alias("pid"), (F.col("k") % 20).alias("tag")).agg(F.min(-F.col("value") / 5).alias("low"), F.max(-F.col("value") / 5).alias("high"))
-    ll = radio.log_likelihood(o, r, "oid", "pid", "tag", 0.5, 0.25)
+    return posterior(events(spark, d), "user_id < 30", "user_id % 10 = 5")
+
+
+def posterior(e, observed, prints, blocks=1):
+    o = e.where(observed).groupBy(F.col("user_id").alias("oid"), (F.col("k") % 20).alias("tag")).agg((-F.avg("value") / 5).alias("rssi"))
+    r = e.where(prints).groupBy(F.col("user_id").alias("pid"), (F.col("k") % 20).alias("tag")).agg(F.min(-F.col("value") / 5).alias("low"), F.max(-F.col("value") / 5).alias("high"))
+    ll = radio.log_likelihood(o, r, "oid", "pid", "tag", 0.5, 0.25, blocks=blocks)
     return radio.softmax(ll, ["oid"], "ll").select("oid", "pid", r6("ll").alias("ll"), r6("p").alias("p"))
 
 
+@query("fingerprint_posterior_all")
+def fingerprint_posterior_all(spark, d):
+    """All users as observations against all users' prints, in blocks of prints; every pair is a row, so work is users squared."""
+    return posterior(events(spark, d), "true", "true", blocks=16)
+
+
 @query("point_jaccard", f"WITH {EV}, s AS (SELECT user_id, event_type, list_distinct(list(k)) AS s FROM ev GROUP BY ALL) SELECT a.user_id, len(list_intersect(a.s, b.s)) AS common, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view'")
 def point_jaccard(spark, d):
     s = events(spark, d).groupBy("user_id", "event_type").agg(F.collect_set("k").alias("s"))
@@ -171,3 +191,7 @@ def paint_passes(spark, d):
     p = path_length(one, ["user_id"], "t", "x", "y").withColumn("cell", F.floor(F.col("x") / 50))
     gap = F.col("path") - F.lag("path").over(Window.partitionBy("user_id", "cell").orderBy("t"))
     return p.withColumn("new", F.when(gap < 300, 0).otherwise(1)).groupBy("cell").agg(F.least(F.sum("new"), F.lit(255)).alias("passes"))
+
+
+for _f in (grid_idw_fill, grid_bilinear, grid_blur, grid_dilation, raster_runs, corridor_coverage):
+    query(f"{_f.__name__}_all")(partial(_f, holes=False))  # all cells
