@@ -203,6 +203,13 @@ def components(spark, d):
     return graphs.components(li.select((F.col("l_orderkey") * 10).alias("a"), (F.col("l_suppkey") * 10 + 1).alias("b")).distinct())
 
 
+@query("components_all")
+def components_all(spark, d):
+    """The graph of components over all lines."""
+    li = table(spark, d, "lineitem")
+    return graphs.components(li.select((F.col("l_orderkey") * 10).alias("a"), (F.col("l_suppkey") * 10 + 1).alias("b")).distinct())
+
+
 @query("shortest_path", """WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b, CAST(1 + n_regionkey AS DOUBLE) AS w FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 1) % 25, 4.0 FROM nation), u AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e) GROUP BY ALL),
 p(v, dist, n) AS (SELECT 0, CAST(0 AS DOUBLE), 0 UNION SELECT b, dist + w, n + 1 FROM p JOIN u ON u.a = p.v WHERE n < 8) SELECT 0 AS src, v, min(dist) AS dist FROM p GROUP BY v""")
 def shortest_path(spark, d):
