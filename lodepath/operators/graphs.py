@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(v, root) of every vertex of edges (a, b): least labels spread over edges, with a jump to the label's label each round.
 
-    Plans are cut by a reliable checkpoint each round, where a checkpoint folder is set."""
+    Ends when no label changes; raises if that takes more than most_rounds. Plans are cut by a reliable checkpoint each round, where a checkpoint folder is set."""
     both = edges.select("a", "b").unionAll(edges.select("b", "a")).distinct().persist()
     now = both.select(F.col("a").alias("v")).distinct().withColumn("root", F.col("v"))
     mark = None
-    for _ in range(most_rounds):
+    for k in count():
+        if k == most_rounds:
+            raise RuntimeError(f"not settled after {most_rounds} rounds")
         low = both.join(now, both.b == now.v).groupBy("a").agg(F.min("root").alias("low"))
         step = now.join(low, now.v == low.a, "left").select("v", F.least("root", F.coalesce("low", "root")).alias("root"))
         jump = step.select(F.col("v").alias("_v"), F.col("root").alias("_r"))
@@ -38,15 +42,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(src, v, dist) from every source over undirected edges (a, b, w): rounds of relaxation until nothing is shorter."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(src, v, dist) from every source over undirected edges (a, b, w): rounds of relaxation until nothing is shorter.
+
+    Raises if that takes more than most_rounds, or if a weight is below 0 (distances would fall for ever)."""
     both = edges.select("a", "b", "w").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")).persist()
+    if both.where("w < 0").limit(1).count():
+        raise ValueError("weights must not be below 0")
     now = sources.select("src", F.col("src").alias("v"), F.lit(0.0).alias("dist"))
     mark = None
-    for _ in range(most_rounds):
+    for k in count():
+        if k == most_rounds:
+            raise RuntimeError(f"not settled after {most_rounds} rounds")
         step = now.join(both, now.v == both.a).select("src", F.col("b").alias("v"), (F.col("dist") + F.col("w")).alias("dist"))
         now = checkpointed(now.unionAll(step).groupBy("src", "v").agg(F.min("dist").alias("dist")))
-        seen = tuple(now.agg(F.count("*"), F.round(F.sum("dist"), 6)).first())
+        seen = tuple(now.agg(F.count("*"), F.expr("sum(cast(xxhash64(src, v, dist) as decimal(38, 0)))")).first())
         if seen == mark:
             break
         mark = seen
