@@ -74,3 +74,15 @@ def drop(df: DataFrame) -> None:
 def hold_out(key: str, mod: int, remainder: int):
     """True for rows whose crc32(key as text) leaves that remainder."""
     return (F.crc32(F.col(key).cast("string")) % mod == remainder)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from lodepath.llm.common import cut, drop
 
 
-def components(edges: DataFrame) -> DataFrame:
+def component_table(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges (a, b), root being the smallest vertex of its component.
 
     Both columns are bigint; loops, repeated and reversed edges do no harm; nulls are left out. An empty
     table gives an empty table. Every round is a pre-aggregated minimum by vertex and a join; nothing comes
-    to the driver but a count and a checksum, and each round is written to the shared folder.
+    to the driver but a count and a checksum, and each round, and the result, is written to the shared folder; drop() it after use.
     """
     now = cut(
         edges.where("a is not null and b is not null and a <> b")
@@ -40,4 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         )
         drop(now)
         now = after
-    return now.select("v", F.col("m").alias("root")).unionAll(now.select(F.col("m").alias("v"), F.col("m").alias("root")).distinct())
+    out = cut(now.select("v", F.col("m").alias("root")).unionAll(now.select(F.col("m").alias("v"), F.col("m").alias("root")).distinct()))
+    drop(now)
+    return out

@@ -1,17 +1,21 @@
 """Exact n-gram Jaccard join of whole texts by T-occurrence search.
 
 1. One scan turns each text into its set of shingle hashes. Equal sets are one *class* from here on.
-2. Sharding. Sets that can be linked differ in at most d shingles, d following from size and threshold. Cut the
-   shingle space into d + 1 parts: linked sets agree in at least one part (pigeonhole), so classes meet in the
-   shard of that part's content. Sizes are in geometric intervals, and a set also signs for the next lower one.
-   A class signs once a task, so a group of copies sends one row a task, whatever its size.
-3. Of classes that meet, those pairs go whose parity bitmaps differ in more bits than linked sets can differ in
+2. T-occurrence bound over the corpus. Under one random order of all shingles, a set's first
+   n - need + l shingles (need: the least overlap that a link asks for) hold at least l that any linked set has among its
+   own first ones. So the scan sends only these, as inverted lists dealt by ranges of the hash; the lists count how many
+   of a class's are shared, and classes with fewer than l, most of a corpus, are done: they link with nothing.
+3. Sharding of the classes left. Sets that can be linked differ in at most d shingles, d following from size and
+   threshold. Cut the shingle space into d + 1 parts: linked sets agree in at least one part (pigeonhole), so classes
+   meet in the shard of that part's content. Sizes are in geometric intervals, and a set also signs for the next lower
+   one. A class signs once a task, so a group of copies sends one row a task, whatever its size.
+4. Of classes that meet, those pairs go whose parity bitmaps differ in more bits than linked sets can differ in
    shingles (a bound, so no link goes). The rest form candidate clusters; these are cut into blocks of about BLOCK
    classes, and each pair of blocks is one task. Cost within a cluster is quadratic in its *different* near texts.
-4. T-occurrence search in each task: inverted lists over the block, each query merging its short lists and
+5. T-occurrence search in each task: inverted lists over the block, each query merging its short lists and
    probing its long ones by binary search (DivideSkip), exact overlap in the end. Texts already joined are
    skipped, so a task returns at most one link a class and never all pairs.
-5. Components over those links.
+6. Components over those links.
 """
 
 from __future__ import annotations
@@ -21,20 +25,39 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodepath.llm import textops as tx
-from lodepath.llm.common import cut, ship, table
-from lodepath.llm.components import components
+from lodepath.llm.common import cut, drop, ship, table
+from lodepath.llm.components import component_table
 
 BLOCK = 512  # classes of a block
 VOLUME = 1 << 18  # and shingles: a block has no more than about either
 FLUSH = 1 << 20
+LOCAL = 1 << 14  # classes of a flush are numbered in 16 bits: it ends beyond 3 * LOCAL, and rows come LOCAL at a time
+OFTEN = (1 << 16) - 1  # in place of a class's number: a shingle that several classes of a flush have
 MU = 0.5
 WORDS = 16  # 64-bit words of a bitmap
-CROWD = 64  # a signature shared by more classes than this in one task, or by more than HUGE in all, joins them unseen
-HUGE = 8192
+PIVOT = 64  # longer runs are connected pivot by pivot
+HUGE = 1 << 15  # classes of more than this that share a signature are joined unseen: no link is lost, the search does more
+
+
+def spare(t: int) -> int:
+    """Shingles that a prefix is longer by, in hundredths of the set: the more, the fewer classes are left by chance."""
+    return (100 - t) // 2
+
+
+def prefixes(n: np.ndarray, t: int) -> np.ndarray:
+    """Shingles that sets of n shingles send."""
+    need = -(-n * t // 100)
+    return np.minimum(n, n - need + np.maximum(1, n * spare(t) // 100))
+
+
+def least_shared(t: int) -> str:
+    """SQL: how many of a prefix, of a set of `n` shingles, any linked set's prefix has at least."""
+    return f"greatest(1, (cast(n as bigint) * {t} + 99) div 100 * {spare(t)} div 100)"
 
 
 class Intervals:
@@ -104,111 +127,234 @@ def bitmaps(rows: int, doc: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(rows, -1), axis=1).view(np.uint64)
 
 
-def scan(k: int, t: int):
-    """Rows (a, b, n, bits): n >= 0 for a document (class, doc_id, set size), -1 for (signature, class), -2 for an edge."""
+def scan(k: int, t: int, buckets: int):
+    """From (doc_id, text hash, text): rows (a, b, n, f, i, bytes).
+
+    n >= 0: a document (class, doc_id, set size, its class's flush and number there, text hash in `h`); n = -1: an
+    inverted list's part (bucket, -, -, flush, -, 32-bit hashes and 16-bit class numbers); n = -2: a class's count of
+    shared shingles (-, count, -, flush, number). A flush is named by its task and order, so that a task that is run
+    again names it alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, flushes = TaskContext.get().partitionId(), 0
         sent: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        local = size = 0
 
-        def out(a, b, n, bits=None):
-            n = pa.array(np.asarray(n, np.int32))
-            return pa.RecordBatch.from_arrays([a, b, n, pa.nulls(len(n), pa.binary()) if bits is None else bits], names=["a", "b", "n", "bits"])
+        def out(a, b, n, f, i, h=None, data=None):
+            m = len(a)
+            cols = [a, b, n, f, i, h if h is not None else pa.nulls(m, pa.int64()), data if data is not None else pa.nulls(m, pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "n", "f", "i", "h", "data"])
 
         def flush():
-            sig, key = (np.concatenate(z) for z in zip(*held, strict=True))
+            x, i = (np.concatenate(z) for z in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((key, sig))
-            sig, key = sig[order], key[order]
-            first = np.r_[True, sig[1:] != sig[:-1]]
+            order = np.argsort(x, kind="stable")
+            x, i = x[order], i[order]
+            first = np.r_[True, x[1:] != x[:-1]]
             run = np.cumsum(first) - 1
-            crowd = np.bincount(run)[run] > CROWD
-            send = first | ~crowd
-            yield out(tx.signed(sig[send]), tx.signed(key[send]), np.full(send.sum(), -1))
-            if crowd.any():
-                e = np.unique(np.stack([key[crowd], key[first][run[crowd]]], 1), axis=0)
-                e = e[e[:, 0] != e[:, 1]]
-                yield out(tx.signed(e[:, 0]), tx.signed(e[:, 1]), np.full(len(e), -2))
-
-        size = 0
-        for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, data, offs in tx.slices(batch.column(1)):
+            often = np.bincount(run)[run] > 1
+            yield from counts(np.full(often.sum(), name), i[often], out)
+            i = np.where(often, OFTEN, i).astype(np.uint16)[first]
+            x = x[first]
+            bucket = (x >> tx.U(32)) % tx.U(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, low, i = bucket[order], x[order].astype(np.uint32), i[order]
+            ends = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+            data = pa.array([low[p:q].tobytes() + i[p:q].tobytes() for p, q in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            m, none = len(data), np.zeros(len(data), np.int64)
+            yield out(bucket[ends[:-1]].astype(np.int64), none, np.full(m, -1, np.int32), np.full(m, name), none.astype(np.int32), data=data)
+
+        name = task << 32
+        for batch in (b.slice(at, LOCAL) for b in batches for at in range(0, len(b), LOCAL)):
+            for lo, hi, data, offs in tx.slices(batch.column(2)):
                 rows = hi - lo
                 doc, _, _, h = tx.words(data, offs)
                 doc, x = tx.shingle_sets(rows, doc, h, k)
                 key = set_keys(rows, doc, x)
                 n = np.bincount(doc, minlength=rows)
-                bits = pa.array([m.tobytes() for m in bitmaps(rows, doc, x)], pa.binary())
-                yield out(tx.signed(key), ids.slice(lo, rows), n, bits)
-                new = np.zeros(rows, bool)
-                for i, v in enumerate(key.tolist()):
-                    if n[i] and v not in sent:
+                number = np.full(rows, -1, np.int32)
+                for j, v in enumerate(key.tolist()):
+                    if n[j] and v not in sent:
                         sent.add(v)
-                        new[i] = True
+                        number[j] = local
+                        local += 1
                 if len(sent) > 2_000_000:
                     sent.clear()
-                keep = new[doc]
-                r, s = signatures(rows, doc[keep], x[keep], t)
-                held.append((s, key[r]))
-                size += len(s)
-                if size > FLUSH:
-                    yield from flush()
-                    size = 0
+                yield out(tx.signed(key), batch.column(0).slice(lo, rows), n.astype(np.int32), np.full(rows, name), number, batch.column(1).slice(lo, rows))
+                new = number[doc] >= 0
+                d, y = doc[new], tx.mix(x[new] ^ tx.U(0x7F4A7C15F39CC060))
+                order = np.lexsort((y, d))
+                d, y = d[order], y[order]
+                head = np.arange(len(d)) - np.searchsorted(d, np.arange(rows))[d] < prefixes(n, t)[d]
+                held.append((y[head], number[d[head]]))
+                size += int(head.sum())
+                if size > FLUSH or local > 3 * LOCAL:
+                    if size:
+                        yield from flush()
+                    flushes += 1
+                    name = (task << 32) + flushes
+                    local = size = 0
         if size:
             yield from flush()
 
     return run
 
 
+def counts(f: np.ndarray, i: np.ndarray, out) -> Iterator[pa.RecordBatch]:
+    """Count rows of (flush, number)."""
+    if len(f):
+        order = np.lexsort((i, f))
+        f, i = f[order], i[order]
+        heads = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (i[1:] != i[:-1])])
+        m = len(heads)
+        yield out(f[heads] * 31 + i[heads], np.diff(np.r_[heads, len(f)]), np.full(m, -2, np.int32), f[heads], i[heads].astype(np.int32))
+
+
+def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From scan()'s rows sorted by a: documents and counts as they are, and counts from the inverted lists of each bucket."""
+    held: list[tuple[int, bytes]] = []
+    now = None
+
+    def out(a, b, n, f, i):
+        m = len(a)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (a, b, n, f, i)), pa.nulls(m, pa.int64())], names=["a", "b", "n", "f", "i", "h"])
+
+    def close():
+        parts = [(f, np.frombuffer(d, np.uint32, len(d) // 6), np.frombuffer(d, np.uint16, len(d) // 6, len(d) // 6 * 4)) for f, d in held]
+        x = np.concatenate([p[1] for p in parts])
+        i = np.concatenate([p[2] for p in parts]).astype(np.int64)
+        f = np.repeat(np.array([p[0] for p in parts]), [len(p[1]) for p in parts])
+        order = np.argsort(x, kind="stable")
+        x, i, f = x[order], i[order], f[order]
+        same = x[1:] == x[:-1]
+        use = (np.r_[False, same] | np.r_[same, False]) & (i != OFTEN)
+        yield from counts(f[use], i[use], out)
+
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        yield batch.filter(pa.array(n != -1)).drop_columns("data")
+        lists = batch.filter(pa.array(n == -1))
+        for a, f, data in zip(lists.column("a").to_pylist(), lists.column("f").to_pylist(), lists.column("data").to_pylist(), strict=True):
+            if a != now and held:
+                yield from close()
+                held = []
+            now = a
+            held.append((f, data))
+    if held:
+        yield from close()
+
+
+def sets_of(k: int):
+    """(key, size, bits, grams) of (want, text) where the text's class is the wanted one, each class once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in batches:
+            for lo, hi, data, offs in tx.slices(batch.column("text")):
+                rows = hi - lo
+                doc, _, _, h = tx.words(data, offs)
+                doc, x = tx.shingle_sets(rows, doc, h, k)
+                key = set_keys(rows, doc, x).view(np.int64)
+                n = np.bincount(doc, minlength=rows)
+                ends = np.r_[0, np.cumsum(n)]
+                at = []
+                for i in np.flatnonzero(key == batch.column("want").slice(lo, rows).to_numpy()):
+                    if int(key[i]) not in sent:
+                        sent.add(int(key[i]))
+                        at.append(i)
+                if not at:
+                    continue
+                bits = bitmaps(rows, doc, x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[at]), pa.array(n[at].astype(np.int32)), pa.array([bits[i].tobytes() for i in at], pa.binary()), pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in at], pa.binary())],
+                    names=["key", "size", "bits", "grams"],
+                )
+
+    return run
+
+
+def sign(t: int):
+    """(sig, key) of the classes' parts, from (key, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            sets = [np.frombuffer(b, tx.U) for b in batch.column(1).to_pylist()]
+            lo = 0
+            ends = np.cumsum([len(g) for g in sets])
+            while lo < len(sets):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLUSH, side="right")))
+                some = sets[lo:hi]
+                r, s = signatures(len(some), np.repeat(np.arange(len(some)), [len(g) for g in some]), np.concatenate(some), t)
+                yield pa.RecordBatch.from_arrays([tx.signed(s), pa.array(key[lo:hi][r])], names=["a", "b"])
+                lo = hi
+
+    return run
+
+
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (a, b): documents and edges as they are, and of the signatures those that classes share."""
-    held = None  # the last row, while it is alone in its run
+    """Of (sig, key) sorted by sig, the rows of signatures that several have."""
+    held = None  # the last row, and whether it is alone in its run so far
 
     for batch in batches:
-        n = batch.column(2).to_numpy()
-        yield batch.filter(pa.array(n != -1))
-        at = np.flatnonzero(n == -1)
-        if not len(at):
+        if not len(batch):
             continue
-        sig, key = batch.column(0).to_numpy()[at], batch.column(1).take(pa.array(at)).to_numpy()
+        sig, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        alone = held is None or held[2]
         if held is not None:
             sig, key = np.r_[held[0], sig], np.r_[held[1], key]
-        alone = held is None or held[2]
         same = sig[1:] == sig[:-1]
         shared = np.r_[False, same] | np.r_[same, False]
         if not alone:
             shared[0] = False  # the held row has gone out already
-        last_shared = bool(np.r_[not alone, same][-1]) if len(sig) == 1 else bool(same[-1])
-        held = (sig[-1], key[-1], not last_shared)
+        held = (sig[-1], key[-1], not (same[-1] if len(same) else not alone))
         if shared.any():
-            k = int(shared.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(sig[shared]), pa.array(key[shared]), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names=["a", "b", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[shared]), pa.array(key[shared])], names=["a", "b"])
 
 
 def near_pairs(key: np.ndarray, size: np.ndarray, bits: np.ndarray, run: np.ndarray, t: int) -> np.ndarray:
     """Edges (key, key) that connect, within each run, all pairs that may be linked by size and bitmap."""
-    counts = np.bincount(run)
+    lengths = np.bincount(run)
     out = []
-    for c in np.unique(counts[counts > 1]):
-        rows = np.flatnonzero(counts[run] == c).reshape(-1, c)  # runs of one length at a time
-        if c > HUGE:
-            out.append(np.stack([rows[:, 1:].ravel(), np.repeat(rows[:, 0], c - 1)], 1))
+    for c in np.unique(lengths[lengths > 1]):
+        rows = np.flatnonzero(lengths[run] == c).reshape(-1, c)  # runs of one length at a time
+        if c > PIVOT:
+            out.extend(by_pivots(r, size, bits, t) for r in rows)
             continue
         for gap in range(1, c):
             a, b = rows[:, : c - gap].ravel(), rows[:, gap:].ravel()
-            n = size[a].astype(np.int64) + size[b]
-            fit = (size[a] * 100 >= t * size[b]) & (size[b] * 100 >= t * size[a])
-            a, b, n = a[fit], b[fit], n[fit]
-            diff = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-            fit = diff * (100 + t) <= n * (100 - t)
+            fit = may_link(a, b, size, bits, t)
             out.append(np.stack([a[fit], b[fit]], 1))
-            if c > CROWD and gap % 64 == 0:
-                out = [forest(np.concatenate(out), len(run))]
     e = forest(np.concatenate(out), len(run)) if out else np.zeros((0, 2), np.int64)
     return np.unique(np.stack([key[e[:, 0]], key[e[:, 1]]], 1), axis=0) if len(e) else np.zeros((0, 2), np.int64)
 
 
+def may_link(a: np.ndarray, b: np.ndarray, size: np.ndarray, bits: np.ndarray, t: int) -> np.ndarray:
+    """Which pairs of rows may be linked by their sizes and bitmaps."""
+    fit = np.flatnonzero((size[a] * 100 >= t * size[b]) & (size[b] * 100 >= t * size[a]))
+    diff = np.bitwise_count(bits[a[fit]] ^ bits[b[fit]]).sum(1, dtype=np.int64)
+    out = np.zeros(len(a), bool)
+    out[fit[diff * (100 + t) <= (size[a[fit]].astype(np.int64) + size[b[fit]]) * (100 - t)]] = True
+    return out
+
+
+def by_pivots(rows: np.ndarray, size: np.ndarray, bits: np.ndarray, t: int) -> np.ndarray:
+    """Edges that connect the rows of one long run: each row is held against those that aren't yet of its component."""
+    label, out = np.arange(len(rows)), []
+    for p in range(len(rows) - 1):
+        rest = np.flatnonzero(label[p + 1 :] != label[p]) + p + 1
+        if not len(rest):
+            if (label == label[p]).all():
+                break
+            continue
+        hit = rest[may_link(np.full(len(rest), rows[p]), rows[rest], size, bits, t)]
+        if len(hit):
+            out.append(np.stack([rows[hit], np.full(len(hit), rows[p])], 1))
+            label[np.isin(label, label[hit])] = label[p]
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
 def forest(e: np.ndarray, n: int) -> np.ndarray:
     """Star edges (vertex, least vertex) of the components of edges over n vertices."""
     if not len(e):
@@ -303,11 +449,14 @@ def t_occurrence(sets: list[np.ndarray], query: np.ndarray, index: np.ndarray, t
         short = short[lens[short] > 0]
         n = lens[short]
         flat = np.repeat(starts[mine[short]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        count = np.bincount(posts[flat], minlength=len(index))
-        cand = np.flatnonzero(open_ & (count >= least - long))
+        merged = np.sort(posts[flat], kind="stable")  # the lists are sorted runs: a merge, in a heap's order
+        heads = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]][: len(merged)])
+        total = np.diff(np.r_[heads, len(merged)])
+        cand = merged[heads]
+        good = open_[cand] & (total >= least - long)
+        cand, total = cand[good], total[good]
         if not len(cand):
             continue
-        total = count[cand]
         for z in rest:
             lst = posts[starts[mine[z]] : starts[mine[z] + 1]]
             if len(lst):
@@ -335,27 +484,6 @@ def search(t: int):
     return run
 
 
-def grams(k: int):
-    """(doc class, set size, sorted shingle hashes) of (want, text), where the text's class is the wanted one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tx.slices(batch.column("text")):
-                rows = hi - lo
-                doc, _, _, h = tx.words(data, offs)
-                doc, x = tx.shingle_sets(rows, doc, h, k)
-                key = set_keys(rows, doc, x).view(np.int64)
-                ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=rows))]
-                good = key == batch.column("want").slice(lo, rows).to_numpy()
-                at = np.flatnonzero(good)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at]), batch.column("root").slice(lo, rows).filter(pa.array(good)), pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in at], pa.binary())],
-                    names=["key", "root", "grams"],
-                )
-
-    return run
-
-
 def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text, any others).
 
@@ -366,36 +494,49 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cols = "a bigint, b bigint, n int, bits binary"
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = cut(docs.mapInArrow(scan(k, threshold), cols).repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(meet, cols))
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = min(1 << 16, 1 << max(10, int(chars >> 24).bit_length()))  # of lists: so many that one fits in a task's memory
+    cols = "a bigint, b bigint, n int, f bigint, i int, h bigint"
+    rows = docs.mapInArrow(scan(k, threshold, buckets), cols + ", data binary")
+    spread = F.when(F.col("n") == -1, F.col("a")).otherwise(F.xxhash64("a", "b", "f", "i"))  # copies needn't meet
+    met = cut(rows.repartition(parts, spread).sortWithinPartitions("a").mapInArrow(count_shared, cols))
     known = met.where("n >= 0").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"))
-    classes = cut(met.where("n > 0").groupBy(F.col("a").alias("key")).agg(F.min("b").alias("rep"), F.min("n").alias("size"), F.min("bits").alias("bits")))
-    reps = classes.select("key", "rep")
-    shared = met.where("n = -1").select("a", "b").join(classes, F.col("b") == F.col("key")).select("a", "key", "size", "bits")
-    may = shared.repartition(parts, "a").sortWithinPartitions("a", "key").mapInArrow(prune(threshold), "a bigint, b bigint")
-    cand = cut(components(may.unionAll(met.where("n = -2").select("a", "b"))))
-    want = cand.join(reps, cand.v == reps.key).select(F.col("v").alias("want"), "root", "rep")
+    some = met.where("n > 0")
+    classes = cut(some.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("rep"), F.min(F.struct(F.col("b").alias("doc_id"), "h")).alias("at")))
+    shared = met.where("n = -2").groupBy("f", "i").agg(F.sum("b").alias("shared"))
+    alive = some.where("i >= 0").join(shared, ["f", "i"]).where(f"shared >= {least_shared(threshold)}").select(F.col("a").alias("key")).distinct()
+    want = classes.join(alive, "key").select(F.col("key").alias("want"), F.col("at.doc_id").alias("id"), F.col("at.h").alias("th"))
+    wanted = docs.join(want, docs.doc_id.eqNullSafe(want.id) & (docs.h == want.th)).select("want", "text")
+    sets = cut(wanted.mapInArrow(sets_of(k), "key bigint, size int, bits binary, grams binary"))
+    signs = sets.select("key", "grams").mapInArrow(sign(threshold), "a bigint, b bigint").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(meet, "a bigint, b bigint")
+    small = sets.groupBy("key").agg(F.min("size").alias("size"), F.min("bits").alias("bits"))
+    near = signs.join(small, F.col("b") == F.col("key")).select("a", "key", "size", "bits")
+    may = near.repartition(parts, "a").sortWithinPartitions("a", "key").mapInArrow(prune(threshold), "a bigint, b bigint")
+    cand = component_table(may)
+    mine = sets.select("key", "size", "grams").join(cand.withColumnRenamed("v", "key"), "key")
     weight = F.greatest(F.count("*") / BLOCK, F.sum("size") / VOLUME)
-    weights = cut(cand.join(classes, cand.v == classes.key).groupBy("root").agg(weight.alias("members")))
+    weights = cut(mine.groupBy("root").agg(weight.alias("members")))
     sizes = weights.where("members > 1")
     bins = int(weights.where("members <= 1").agg(F.ceil(F.coalesce(F.sum("members"), F.lit(0.0)))).first()[0]) + 1
-    sets = docs.join(want, docs.doc_id.eqNullSafe(want.rep)).select("want", "root", "text").mapInArrow(grams(k), "key bigint, root bigint, grams binary")
-    blocks = F.expr("cast(ceil(members) as int)")
     placed = (
-        sets.join(sizes, "root", "left")
-        .withColumn("nb", F.coalesce(blocks, F.lit(0)))
+        mine.join(sizes, "root", "left")
+        .withColumn("nb", F.coalesce(F.expr("cast(ceil(members) as int)"), F.lit(0)))
         .withColumn("blk", F.when(F.col("nb") > 0, F.expr("cast(pmod(xxhash64(key), nb) as int)")).otherwise(-1))
         .withColumn("unit", F.when(F.col("nb") > 0, F.col("root")).otherwise(F.expr(f"pmod(xxhash64(root), {bins})")))
         .withColumn("other", F.explode(F.expr("if(nb > 0, sequence(0, nb - 1), array(-1))")))
         .select("unit", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "key", "grams")
     )
-    links = cut(placed.groupBy("unit", "i", "j").applyInPandas(search(threshold), "a bigint, b bigint"))
-    joined = components(links)
-    named = reps.join(joined, reps.key == joined.v, "left").select("key", "rep", F.coalesce("root", "key").alias("group"))
+    joined = component_table(placed.groupBy("unit", "i", "j").applyInPandas(search(threshold), "a bigint, b bigint"))
+    for done in (sets, cand, weights):
+        drop(done)
+    named = classes.select("key", "rep").join(joined, classes.key == joined.v, "left").select("key", "rep", F.coalesce("root", "key").alias("group"))
     least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     named = cut(named.join(least, "group").select(F.col("key").alias("own"), "component_id"))  # one row a class, so copies weigh nothing
+    drop(classes)
+    drop(joined)
     whole = known.where("n_shingles > 0").join(named, F.col("key") == F.col("own")).select("doc_id", "n_shingles", "component_id")
     return whole.unionAll(known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
