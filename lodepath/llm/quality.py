@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodepath.llm import textops as tx
-from lodepath.llm.common import cut, hold_out, ship, table
+from lodepath.llm.common import cut, drop, hold_out, ship, table
 
 STATS = (
     "log words", "log mean word length", "log spread of word length", "logit capitals", "logit digits", "logit symbols", "logit exclamation marks",
@@ -171,12 +171,15 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     return labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(column).cast("int")).alias("label"))
 
 
-def train(docs: DataFrame, labels: DataFrame, keep_stats: bool = False) -> tuple[Discriminant | None, DataFrame]:
-    """The model of all labelled rows that aren't held out, and the table (doc_id, stats) of all documents."""
-    ship(docs.sparkSession)
-    stats = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), stats_of(F.col("text").cast("string")).alias("stats")))
-    known = stats.join(one_label(labels, "quality"), "doc_id").where(~hold_out("doc_id", 5, 0))
-    return fit(known), stats
+def train(docs: DataFrame, labels: DataFrame) -> Discriminant | None:
+    """The model of all labelled rows that aren't held out. docs have doc_id and stats, or text, whose statistics are then computed for those rows only."""
+    known = docs.join(one_label(labels, "quality"), "doc_id").where(~hold_out("doc_id", 5, 0))
+    if "stats" in docs.columns:
+        return fit(known)
+    known = cut(known.select(stats_of(F.col("text")).alias("stats"), "label"))
+    model = fit(known)
+    drop(known)
+    return model
 
 
 def score_of(model: Discriminant | None):
@@ -190,16 +193,22 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     Null texts count as empty; empty and word-less texts are scored by the same model; repeated rows each get
     a row; a null doc_id has held_out null and is never learned from. An empty table gives an empty table.
     """
-    model, stats = train(docs, labels)
-    return stats.select("doc_id", hold_out("doc_id", 5, 0).alias("held_out"), score_of(model)("stats").alias("score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
-    )
+    ship(docs.sparkSession)
+    stats = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), stats_of(F.col("text").cast("string")).alias("stats")))
+    model = train(stats, labels)
+    scored = stats.select("doc_id", hold_out("doc_id", 5, 0).alias("held_out"), score_of(model)("stats").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with their columns as they were."""
-    model, _ = train(docs, labels)
-    return docs.where(score_of(model)(stats_of(F.col("text").cast("string"))) >= threshold)
+    """The rows of docs whose score reaches the threshold, with their columns as they were.
+
+    Nulls and empty texts are scored as in quality(); so rows without a doc_id stay if their text is good; an empty
+    table stays empty. Without labels of both classes every score is 0.5 and every row stays where the threshold is no higher."""
+    ship(docs.sparkSession)
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    score = score_of(train(text, labels))
+    return docs.where(score(stats_of(F.col("text").cast("string"))) >= threshold)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
