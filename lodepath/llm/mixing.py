@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodepath.llm.common import cut, table
+from lodepath.llm.common import cut, table, unused
 
 SMALL = 10_000  # so many sources are broadcast; more are joined by a shuffle
 
@@ -116,21 +116,25 @@ def plan(docs: DataFrame, entropy_share: float = 0.95, repeat_limit: float = 3.0
     return cut(with_doc.select("source", "weight", "epochs", "cut_block", F.coalesce("cut_doc", F.lit("")).alias("cut_doc"))), n
 
 
-def mix(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
-    """docs with a row for each time a document is taken, and columns _weight, _epoch (from 0), _block_key.
+def mix(docs: DataFrame, seed: int = 17, names: tuple[str, str, str] = ("_weight", "_epoch", "_block_key"), **how) -> DataFrame:
+    """docs with a row for each time a document is taken, and three columns, by default _weight, _epoch (from 0), _block_key.
 
     Within a source, _epoch, _block_key and a document's own key give the order of reading. Null sources are one
-    source; null and empty texts count one token; documents of the same id stay together; columns keep their names.
+    source; null and empty texts count one token; documents of the same id stay together. The columns of docs keep
+    their names; docs with a column of one of `names` is an error.
     """
+    if taken := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
+        raise ValueError(f"docs has columns of the names of mix()'s own: {sorted(taken)}")
     sources, n = plan(docs, seed=seed, **how)
-    side = sources.select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), F.col("epochs").alias("_epochs"), F.col("cut_block").alias("_cb"), F.col("cut_doc").alias("_cd"))
+    weight, epoch, block = names
+    own, epochs, cb, cd, times = unused(docs, "_source", "_epochs", "_cb", "_cd", "_n")
+    side = sources.select(F.col("source").alias(own), F.col("weight").alias(weight), F.col("epochs").alias(epochs), F.col("cut_block").alias(cb), F.col("cut_doc").alias(cd))
     source = F.col("source").cast("string")
-    both = docs.join(F.broadcast(side) if n <= SMALL else side, source.eqNullSafe(F.col("_source")))
-    key = block_key(seed, F.col("_epochs"), source, block_of(F.col("doc_id")))
-    more = (key < F.col("_cb")) | ((key == F.col("_cb")) & (doc_key(seed, F.col("_epochs"), F.col("doc_id")) <= F.col("_cd")))
-    times = F.col("_epochs") + more.cast("int")
-    taken = both.withColumn("_n", times).where("_n > 0").withColumn("_epoch", F.explode(F.expr("sequence(0L, _n - 1)")))
-    return taken.withColumn("_block_key", F.substring(block_key(seed, F.col("_epoch"), source, block_of(F.col("doc_id"))), 1, 16)).drop("_source", "_epochs", "_cb", "_cd", "_n")
+    both = docs.join(F.broadcast(side) if n <= SMALL else side, source.eqNullSafe(F.col(own)))
+    key = block_key(seed, F.col(epochs), source, block_of(F.col("doc_id")))
+    more = (key < F.col(cb)) | ((key == F.col(cb)) & (doc_key(seed, F.col(epochs), F.col("doc_id")) <= F.col(cd)))
+    taken = both.withColumn(times, F.col(epochs) + more.cast("int")).where(F.col(times) > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1)))
+    return taken.withColumn(block, F.substring(block_key(seed, F.col(epoch), source, block_of(F.col("doc_id"))), 1, 16)).drop(own, epochs, cb, cd, times)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodepath.llm.common import table
+from lodepath.llm.common import table, unused
 
 ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ",
@@ -193,7 +193,8 @@ def pseudonymise(docs: DataFrame, key: str = "lodepath") -> DataFrame:
     without a title, and given names outside the lists' genders, aren't told from other words: the former stay,
     the latter get letters of the same shape."""
     text = F.col("text").cast("string")
-    return docs.withColumn("_found", entities(text)).withColumn("text", replaced(text, F.col("_found"), checked_key(docs, key))).drop("_found")
+    (found,) = unused(docs, "_found")
+    return docs.withColumn(found, entities(text)).withColumn("text", replaced(text, F.col(found), checked_key(docs, key))).drop(found)
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -494,3 +494,69 @@ def test_pipeline_near_duplicates_of_odd_rows(spark, odd, none):
     want = {c for _, _, c in components_of(rows, 5, 80)}
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted(-1 if c is None else c for c in want)
     assert pipeline.stage_near_duplicates(spark, none, "").count() == 0
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Columns with the names that stages could use for themselves, unlinked texts of one id, repeated rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["_n", "_id", "_lead", "count", "_found", "_source", "_epochs", "_cb", "_cd", "_weight", "_epoch", "_block_key", "_row", "_many", "_place", "stats", "label", "score", "key", "h", "a.b"]
+    texts = ["one two three four five six seven eight nine ten", "mail me at jo@example.com about the first of many things we said", None, "", "ein ganz anderer Text mit vielen Worten und noch mehr davon"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (None, texts[4]), (None, None), (3, ""), (4, None), (5, texts[2])]
+    data = [(d, t, "en", "s", *[f"{c}{k}" for c in names]) for k, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame(data, ", ".join(["doc_id long, text string, lang string, source string", *[f"`{c}` string" for c in names]]))
+    near = pipeline.stage_near_duplicates(spark, docs, sf_dir)
+    assert near.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in near.collect())
+    assert got == Counter([(1, texts[0]), (1, texts[1]), (None, texts[4]), (None, None), (3, ""), (4, None), (5, None)])
+    for stage in (pipeline.stage_quality, pipeline.stage_pii, pipeline.stage_mix):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        seen = {tuple(r) if stage is not pipeline.stage_pii else tuple(r)[:1] + tuple(r)[2:] for r in out.collect()}
+        whole = {tuple(r) if stage is not pipeline.stage_pii else tuple(r)[:1] + tuple(r)[2:] for r in docs.collect()}
+        assert seen <= whole if stage is pipeline.stage_quality else seen == whole
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    ids = {r["doc_id"] for r in pipeline.stage_pack(spark, docs, sf_dir).collect()}
+    assert ids == {1, 2, 3, 4, 5, None}
+    assert pipeline.stage_pack(spark, docs.limit(0), sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("t", [50, 80, 90, 100])
+def test_prefixes_of_linked_sets_share_what_the_bound_says(t):
+    """For sets with just the overlap that a link needs, and in any order of shingles."""
+    rng = random.Random(t)
+    least = lambda n: max(1, -(-n * t // 100) * ngram_join.spare(t) // 100)
+    for _ in range(300):
+        n = rng.randint(1, 400)
+        m = rng.randint(-(-n * t // 100), n * 100 // t)
+        both = -(-t * (n + m) // (100 + t))
+        if both > min(n, m):
+            continue
+        a = [(rng.random(), k) for k in range(n)]
+        b = a[:both] + [(rng.random(), -k - 1) for k in range(m - both)]
+        one, two = (set(sorted(s)[: int(ngram_join.prefixes(np.array([len(s)]), t)[0])]) for s in (a, b))
+        assert len(one & two) >= max(least(n), 0) and len(one & two) >= least(m)
+
+
+def test_near_copies_over_flushes_tasks_and_long_runs(spark, monkeypatch):
+    rng = random.Random(9)
+    said = [f"p{i}" for i in range(30)]  # a passage that all share
+    rows = []
+    for g in range(25):
+        w = [f"g{g}w{i}" for i in range(60)]
+        for c in range(8):
+            v = list(w)
+            for _ in range(rng.randint(0, 9)):
+                v[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            rows.append((g * 8 + c, " ".join(said + v)))
+    monkeypatch.setattr(ngram_join, "PIVOT", 3)
+    for flush in (64, 1 << 20):
+        monkeypatch.setattr(ngram_join, "FLUSH", flush)
+        got = Counter(tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 80).collect())
+        assert got == components_of(rows, 3, 80)
+    n, bits = np.full(200, 40, np.int32), None
+    sets = [np.unique(np.r_[np.arange(1, 37 + i % 4), rng.choices(range(100, 1 << 40), k=4)]).astype(np.uint64) for i in range(200)]
+    doc = np.repeat(np.arange(200), [len(s) for s in sets])
+    n, bits = np.bincount(doc).astype(np.int32), ngram_join.bitmaps(200, doc, np.concatenate(sets))
+    all_ = [(a, b) for a in range(200) for b in range(a) if ngram_join.may_link(np.array([a]), np.array([b]), n, bits, 80)[0]]
+    mine = ngram_join.by_pivots(np.arange(200), n, bits, 80)
+    assert {tuple(map(int, e)) for e in ngram_join.forest(np.array(all_), 200)} == {tuple(map(int, e)) for e in ngram_join.forest(mine, 200)}
