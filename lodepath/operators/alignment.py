@@ -19,11 +19,12 @@ def _both(left: DataFrame, right: DataFrame, by: list[str], time: str, values: l
     return a.unionByName(b)
 
 
-def bracket(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], block: float | None = None) -> DataFrame:
+def bracket(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], block: float | None = None, sides: tuple[str, ...] = ("prev", "next")) -> DataFrame:
     """left with structs `prev` (last right row at or before) and `next` (first at or after), null if there is none.
 
     A right row at exactly the time is both. Of right rows of equal time, prev is the largest and next the
-    smallest in order of `values`."""
+    smallest in order of `values`. sides: which of the two to look for; one alone costs half. Each is a running
+    maximum or minimum along a sort, forwards or backwards, so a key's rows cost their number, not its square."""
     if block is not None:
         at = F.floor(F.col(time) / block)
         a, b = left.withColumn("_blk", at), right.where(F.col(time).isNotNull()).withColumn("_blk", at)
@@ -35,14 +36,17 @@ def bracket(left: DataFrame, right: DataFrame, by: list[str], time: str, values:
         before = F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
         after = F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
         around = blocks.select(*keys, before.alias("_before"), after.alias("_after"))
-        inside = bracket(a, b, keys, time, values)
-        return inside.join(around, keys, "left").select(*left.columns, F.coalesce("prev", "_before").alias("prev"), F.coalesce("next", "_after").alias("next"))
+        inside = bracket(a, b, keys, time, values, sides=sides)
+        outer = {"prev": "_before", "next": "_after"}
+        return inside.join(around, keys, "left").select(*left.columns, *[F.coalesce(c, outer[c]).alias(c) for c in sides])
     every = _both(left, right, by, time, values)
-    order = [F.col("_t")]
-    down = Window.partitionBy(*by).orderBy(*order).rangeBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*by).orderBy(*order).rangeBetween(0, Window.unboundedFollowing)
-    out = every.withColumn("prev", F.max("_hit").over(down)).withColumn("next", F.min("_hit").over(up)).where("_side = 1")
-    return out.select("_row.*", "prev", "next")
+    found = {
+        "prev": lambda: F.max("_hit").over(Window.partitionBy(*by).orderBy(F.col("_t").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)),
+        "next": lambda: F.min("_hit").over(Window.partitionBy(*by).orderBy(F.col("_t").desc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)),
+    }
+    for c in sides:
+        every = every.withColumn(c, found[c]())
+    return every.where("_side = 1").select("_row.*", *sides)
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], direction: str = "backward", tolerance: float | None = None, exact: bool = True, prefix: str = "r_", block: float | None = None) -> DataFrame:
@@ -55,7 +59,7 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, values: li
         t = F.col(f"{prefix}{time}") - (1 if direction == "backward" else -1)
         keep = F.lit(True) if tolerance is None else F.abs(F.col(time) - t) <= tolerance
         return got.withColumn(f"{prefix}{time}", t).select(*left.columns, *[F.when(keep, F.col(f"{prefix}{c}")).alias(f"{prefix}{c}") for c in (time, *values)])
-    both = bracket(left, right, by, time, values, block)
+    both = bracket(left, right, by, time, values, block, {"backward": ("prev",), "forward": ("next",)}.get(direction, ("prev", "next")))
     back, fore = F.col("prev"), F.col("next")
     if direction == "backward":
         hit = back

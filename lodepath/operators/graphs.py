@@ -36,9 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its plan cut: written to the checkpoint folder, which is made where none is set (local runs)."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodepath-"))
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lodepath-"))
     return df.checkpoint()
 
 

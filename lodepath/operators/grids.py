@@ -1,7 +1,7 @@
 """Magnetic-field grids as sparse tables (keys, row, col, n, mean, m2): aggregation, merging, filling, sampling.
 
 (n, mean, m2) merge exactly and in any order (Chan's formula), so partial grids are kept as tables and combined by
-one aggregation; no grid is ever gathered into an array outside a sink.
+aggregations; no grid is ever gathered into an array outside a sink.
 """
 
 from __future__ import annotations
@@ -28,14 +28,18 @@ def aggregate(samples: DataFrame, keys: list[str], values: list[str]) -> DataFra
 
 
 def merge(parts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Partial grids (rows of aggregate()) into one: the between-parts term is the spread of the parts' means."""
+    """Partial grids (rows of aggregate()) into one: Chan's between-parts term is each part's n (mean - cell's mean) ** 2.
+
+    The cell's mean comes first, and parts then meet it, so that no large squares are taken from each other."""
     n = F.sum("n")
+    means = parts.groupBy(*keys).agg(*[(F.sum(F.col("n") * F.col(f"mean_{v}")) / n).alias(f"_cell_{v}") for v in values])
     aggs = [n.alias("n")]
     for v in values:
-        m = F.col(f"mean_{v}")
-        mean = F.sum(F.col("n") * m) / n
-        aggs += [mean.alias(f"mean_{v}"), (F.sum(f"m2_{v}") + F.greatest(F.sum(F.col("n") * m * m) - n * mean * mean, F.lit(0.0))).alias(f"m2_{v}")]
-    return parts.groupBy(*keys).agg(*aggs)
+        off = F.col(f"mean_{v}") - F.col(f"_cell_{v}")
+        aggs += [F.first(f"_cell_{v}").alias(f"mean_{v}"), F.sum(F.col(f"m2_{v}") + F.col("n") * off * off).alias(f"m2_{v}")]
+    same = [F.col(f"_p.{k}").eqNullSafe(F.col(f"_m.{k}")) for k in keys]
+    both = parts.alias("_p").join(means.alias("_m"), same).select("_p.*", *[f"_cell_{v}" for v in values])
+    return both.groupBy(*keys).agg(*aggs)
 
 
 def sigma(n: Column, m2: Column, floor: float = 0.5) -> Column:

@@ -46,32 +46,98 @@ def bridge(df: DataFrame, by: list[str], index: str, good: str, dropped: str, ar
     return whole.withColumn("trusted", g | (~d & F.max(g).over(near) & ~F.max(d).over(near)))
 
 
+def carried(df: DataFrame, by: list[str], columns: list[str], out: str, start, fold) -> DataFrame:
+    """by and `out` columns from a fold along each key's rows in order of `columns`, in batches of sorted partitions.
+
+    fold(state, arrays) takes a run of a key's rows as one array a column and gives (state, output columns); only the
+    state is kept between batches, so a long key takes no more memory than a short one."""
+
+    def run(batches):
+        import pandas as pd
+
+        now, state = None, start
+        for pdf in batches:
+            code = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+            heads = [0, *([i for i in range(1, len(code)) if code[i] != code[i - 1]] if len(code) and code.min() != code.max() else []), len(code)]
+            parts = []
+            for lo, hi in zip(heads[:-1], heads[1:], strict=True):
+                if lo == hi:
+                    continue
+                key = tuple(None if pd.isna(pdf[k].iloc[lo]) else pdf[k].iloc[lo] for k in by)  # 1 and 1.0 are equal: nulls in a batch change the type
+                if key != now:
+                    now, state = key, start
+                state, got = fold(state, [pdf[c].to_numpy()[lo:hi] for c in columns])
+                part = pd.DataFrame(got)
+                for k in reversed(by):
+                    part.insert(0, k, pdf[k].iloc[lo : lo + 1].repeat(len(part)).to_numpy())
+                parts.append(part)
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    rows = df.select(*by, *columns).repartition(*by).sortWithinPartitions(*by, *columns)
+    return rows.mapInPandas(run, f"{keys}, {out}")
+
+
 def thin(df: DataFrame, by: list[str], time: str, least: float) -> DataFrame:
-    """by, time of rows kept greedily: at least so long after the last one kept.
+    """by, time of rows kept greedily: at least so long after the last one kept; null times are left out."""
+
+    def fold(last, arrays):
+        import numpy as np
+
+        t, kept = arrays[0], []
+        i = 0 if last is None else int(np.searchsorted(t, last + least))
+        while i < len(t):
+            last = t[i]
+            kept.append(last)
+            i = int(np.searchsorted(t, last + least)) if least > 0 else i + 1
+        return last, {time: np.array(kept, dtype=np.int64)}
 
-    The state is one number carried along the key's sorted times, so the fold takes times alone."""
-    step = F.aggregate(
-        F.sort_array("_ts"), F.array().cast("array<bigint>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= least), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    times = df.groupBy(*by).agg(F.collect_list(F.col(time).cast("bigint")).alias("_ts"))
-    return times.select(*by, F.explode(step).alias(time))
+    times = df.select(*by, F.col(time).cast("bigint").alias(time)).where(F.col(time).isNotNull())
+    return carried(times, by, [time], f"`{time}` bigint", None, fold)
 
 
 def low_pass(df: DataFrame, by: list[str], time: str, value: str, tau: float, restart: float) -> DataFrame:
     """by, time, smooth: an exponential low pass of time constant tau; a gap over `restart`, or none, starts anew."""
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(value).alias("v")))).alias("_r"))
-    empty = F.lit(None).cast("array<struct<t:double,s:double>>")
-
-    def turn(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        dt = r["t"] - last["t"]
-        a = dt / (F.lit(tau) + dt)
-        s = F.when(last.isNull() | (dt <= 0) | (dt > restart), r["v"]).otherwise(last["s"] + a * (r["v"] - last["s"]))
-        return F.concat(acc, F.array(F.struct(r["t"].alias("t"), s.alias("s"))))
-
-    out = rows.select(*by, F.explode(F.aggregate("_r", F.coalesce(empty, F.array().cast("array<struct<t:double,s:double>>")), turn)).alias("x"))
-    return out.select(*by, F.col("x.t").cast("bigint").alias(time), F.col("x.s").alias("smooth"))
+
+    def fold(state, arrays):
+        out = []
+        for t, v in zip(arrays[0].tolist(), arrays[1].tolist(), strict=True):
+            dt = 0.0 if state is None else t - state[0]
+            s = v if state is None or dt <= 0 or dt > restart else state[1] + dt / (tau + dt) * (v - state[1])
+            state = (t, s)
+            out.append(s)
+        return state, {time: arrays[0].astype("int64"), "smooth": out}
+
+    rows = df.select(*by, F.col(time).cast("double").alias(time), F.col(value).cast("double").alias(value)).where(F.col(time).isNotNull())
+    return carried(rows, by, [time, value], f"`{time}` bigint, smooth double", None, fold)
+
+
+def tumbling_quality(df: DataFrame, by: list[str], time: str, good: str, size: int) -> DataFrame:
+    """by, win, n, score: windows since a key's first row, empty ones included, scored by their share of good rows."""
+    first = F.min(time).over(Window.partitionBy(*by))
+    win = df.withColumn("win", F.floor((F.col(time) - first) / size)).groupBy(*by, "win").agg(F.count("*").alias("n"), F.avg(F.col(good).cast("int")).alias("score"))
+    whole = win.groupBy(*by).agg(F.max("win").alias("_m")).select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), "_m")).alias("win"))
+    return whole.join(win, [*by, "win"], "left").select(*by, "win", F.coalesce("n", F.lit(0)).alias("n"), "score")
+
+
+def recent_bias(df: DataFrame, by: list[str], time: str, value: str, keep: int = 180, least: int = 5, second: int = 1000) -> DataFrame:
+    """by, sec, bias: the upper median of the last `keep` seconds' means (seconds with rows), from `least` on."""
+    means = df.groupBy(*by, F.floor(F.col(time) / second).alias("sec")).agg(F.avg(value).alias("m"))
+    last = F.sort_array(F.collect_list("m").over(Window.partitionBy(*by).orderBy("sec").rowsBetween(1 - keep, 0)))
+    seen = means.select(*by, "sec", last.alias("v")).where(F.size("v") >= least)
+    return seen.select(*by, "sec", F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("bias"))
+
+
+def tag_window(df: DataFrame, by: list[str], time: str, tag: str, rssi: str, short: int = 1500, long: int = 3000, least: int = 3) -> DataFrame:
+    """by, time, tag, mean, n: a reading's tag over (now - short, now], widened to `long` where all tags have under `least` readings.
+
+    Readings of one time count for each other, in whatever order they came."""
+    at = F.col(time).cast("bigint")
+    w = lambda keys, span: Window.partitionBy(*keys).orderBy(at).rangeBetween(1 - span, 0)
+    few = F.count("*").over(w(by, short)) < least
+    near, wide = w([*by, tag], short), w([*by, tag], long)
+    return df.select(*by, at.alias(time), tag, F.when(few, F.avg(rssi).over(wide)).otherwise(F.avg(rssi).over(near)).alias("mean"), F.when(few, F.count("*").over(wide)).otherwise(F.count("*").over(near)).alias("n"))
 
 
 def steps(df: DataFrame, by: list[str], time: str, x: str, y: str) -> DataFrame:

@@ -36,3 +36,15 @@ SAMPLES = "smp AS (SELECT l_suppkey % 4 AS session, l_quantity * 10 AS x, round(
 def r6(c):
     """Rounded to 6 places, so that sums in another order are equal."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode (tests) and an error elsewhere."""
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if got:
+        return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    return "file://" + tempfile.mkdtemp(prefix="lodepath-")

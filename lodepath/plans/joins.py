@@ -121,7 +121,7 @@ def knn_embeddings(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     dist = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    blocks = 8
+    blocks = max(8, e.count() // 65_536 + 1)  # of rows, each about as large however many there are
     both = q.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(e.withColumn("blk", F.expr(f"cast(pmod(xxhash64(vec_id), {blocks}) as int)")), "blk").where("query_id <> vec_id")
     return radio.knn(both.select("query_id", "vec_id", dist.alias("d")), "query_id", ["vec_id"], 5).select("query_id", "vec_id", "rank", r6("w").alias("w"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lodepath.kernels import location as loc
 from lodepath.kernels import motion as mo
 from lodepath.kernels.base import replay
-from lodepath.plans.common import EV, events, r6, table
+from lodepath.operators import sequences
+from lodepath.plans.common import EV, events, r6, shared_folder, table
 from lodepath.plans.registry import query
 
 DAY = 86_400_000
@@ -33,10 +34,9 @@ def single(spark, d):
 @query("stream_quality", f"""WITH {EV}, one AS (SELECT user_id, t, max(value) AS value FROM ev GROUP BY ALL), w AS (SELECT user_id, (t - min(t) OVER (PARTITION BY user_id)) // {DAY} AS win, value FROM one), f AS (SELECT user_id, win, count(*) AS n, avg(CAST(value < 250 AS INT)) AS score FROM w GROUP BY ALL), s AS (SELECT user_id, unnest(range(0, m + 1)) AS win FROM (SELECT user_id, max(win) AS m FROM f GROUP BY user_id))
 SELECT user_id, win, coalesce(n, 0) AS n, round(score, 6) AS score FROM s LEFT JOIN f USING (user_id, win)""")
 def stream_quality(spark, d):
-    """Windows since the first row through the machine that a stream would run; empty windows are there."""
+    """Windows since the first row; empty windows are there. The machine of the same name gives the same in a stream."""
     s = single(spark, d).withColumn("good", F.col("value") < 250)
-    out = replay(s, "user_id", ["t"], lambda: mo.QualityWindows(DAY), "user_id bigint, win bigint, n bigint, score double, recent double, stop boolean")
-    return out.select("user_id", "win", "n", r6("score").alias("score"))
+    return sequences.tumbling_quality(s, ["user_id"], "t", "good", DAY).select("user_id", "win", "n", r6("score").alias("score"))
 
 
 @query("odometry_moves")
@@ -48,10 +48,9 @@ def odometry_moves(spark, d):
 @query("bias_tracker", f"""WITH {EV}, one AS (SELECT user_id, t, max(value) AS value FROM ev GROUP BY ALL), s AS (SELECT user_id, t // 86400 // 1000 AS sec, avg(value) AS m FROM one GROUP BY ALL), w AS (SELECT user_id, sec, list_sort(list(m) OVER (PARTITION BY user_id ORDER BY sec ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS v FROM s)
 SELECT user_id, sec, round(v[len(v) // 2 + 1], 6) AS bias FROM w WHERE len(v) >= 5""")
 def bias_tracker(spark, d):
-    """The machine's seconds are days here; the last ten with rows are kept."""
+    """Seconds are days here; the last ten with rows are kept."""
     s = single(spark, d).withColumn("t", F.floor(F.col("t") / 86400))
-    out = replay(s, "user_id", ["t"], lambda: mo.Bias(10), "user_id bigint, sec bigint, bias double")
-    return out.select("user_id", "sec", r6("bias").alias("bias"))
+    return sequences.recent_bias(s, ["user_id"], "t", "value", keep=10).select("user_id", "sec", r6("bias").alias("bias"))
 
 
 @query("step_lengths")
@@ -73,10 +72,13 @@ def floor_changes(spark, d):
     return replay(s, "user_id", ["t"], mo.Floors, "user_id bigint, t bigint, floors int, mode string")
 
 
-@query("radio_window")
+@query("radio_window", f"""WITH {EV}, one AS (SELECT user_id, t, max(value) AS value, max(k) AS k FROM ev GROUP BY ALL), s AS (SELECT user_id, t // 86400 AS t, k % 5 AS tag, -value / 5 AS rssi FROM one),
+n AS (SELECT user_id, t, tag, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 1499 PRECEDING AND CURRENT ROW) AS a, avg(rssi) OVER s AS ms, count(*) OVER s AS ns, avg(rssi) OVER l AS ml, count(*) OVER l AS nl FROM s
+  WINDOW s AS (PARTITION BY user_id, tag ORDER BY t RANGE BETWEEN 1499 PRECEDING AND CURRENT ROW), l AS (PARTITION BY user_id, tag ORDER BY t RANGE BETWEEN 2999 PRECEDING AND CURRENT ROW))
+SELECT user_id, t, tag, round(CASE WHEN a < 3 THEN ml ELSE ms END, 6) AS mean, CASE WHEN a < 3 THEN nl ELSE ns END AS n FROM n""")
 def radio_window(spark, d):
     s = single(spark, d).select("user_id", F.floor(F.col("t") / 86400).alias("t"), (F.col("k") % 5).alias("tag"), (-F.col("value") / 5).alias("rssi"))
-    return replay(s, "user_id", ["t", "tag", "rssi"], mo.RadioWindow, "user_id bigint, t bigint, tag int, mean double, n int")
+    return sequences.tag_window(s, ["user_id"], "t", "tag", "rssi").select("user_id", "t", "tag", r6("mean").alias("mean"), "n")
 
 
 @query("magnetic_trust")
@@ -132,21 +134,18 @@ def tap_synchronisation(spark, d):
     """Two channels of a session as two devices: tap groups, then offset and drift where they agree."""
     ship(spark)
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ta = [x for g in loc.tap_groups(sorted(a["t"].astype(float)), DAY / 24, DAY) for x in g]
-        tb = [x for g in loc.tap_groups(sorted(b["t"].astype(float)), DAY / 24, DAY) for x in g]
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        ta, tb = ([x for g in loc.tap_groups(sorted(rows["t"][rows["event_type"] == kind].astype(float)), DAY / 24, DAY) for x in g] for kind in ("click", "view"))
         r = loc.tap_sync(ta, tb, 1e12) if len(ta) == len(tb) else None
         return pd.DataFrame([(key[0], len(ta), len(tb), *(r or (None, None, None)))], columns=["user_id", "taps_a", "taps_b", "offset", "drift", "residual"]).astype({"offset": float, "drift": float, "residual": float})
 
-    e = events(spark, d)
-    a, b = e.where("event_type = 'click'").select("user_id", "t"), e.where("event_type = 'view'").select("user_id", "t")
-    return a.groupBy("user_id").cogroup(b.groupBy("user_id")).applyInPandas(run, "user_id bigint, taps_a int, taps_b int, offset double, drift double, residual double")
+    both = events(spark, d).where("event_type in ('click', 'view')").select("user_id", "t", "event_type")
+    return both.groupBy("user_id").applyInPandas(run, "user_id bigint, taps_a int, taps_b int, offset double, drift double, residual double")
 
 
 @query("stream_rates", f"WITH {EV} SELECT event_type, CAST(floor(t / 86400000.0) AS BIGINT) AS day, count(*) AS n, round(sum(value), 2) AS total FROM ev GROUP BY ALL")
 def stream_rates(spark, d):
     """A file stream of events through a watermark and tumbling days, run to its end; the update rows' last state is the result."""
-    import tempfile
     import uuid
 
     from lodepath.streaming.jobs import run_to_end
@@ -155,6 +154,6 @@ def stream_rates(spark, d):
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     t = s.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", "10 seconds")
     agg = t.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lodepath-")
+    base = shared_folder(spark)
     out = run_to_end(agg, f"rates_{uuid.uuid4().hex}", "complete", f"{base}/stream-{uuid.uuid4().hex}")
     return out.select("event_type", F.floor(F.unix_millis(F.col("window.start")) / DAY).alias("day"), "n", F.round("v", 2).alias("total"))

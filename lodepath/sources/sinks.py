@@ -29,9 +29,11 @@ def grid_json(cells: DataFrame, keys: list[str], rows: int, cols: int, values: l
     return got.select(*keys, doc.alias("doc"))
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small report as a Markdown table (a report's rows, not data)."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A small report as a Markdown table; a table of more than `most` rows is no report, and an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; write it with csv()")
     line = lambda xs: "| " + " | ".join("-" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x) for x in xs) + " |"
     return "\n".join([line(df.columns), line(["-"] * len(df.columns)), *[line(r) for r in rows]])
 

@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -30,10 +31,13 @@ def sf_dir():
 def compare(spark, duck, query, sql, sf):
     """Rows of both sides, columns by name, doubles to 6 places."""
 
+    def missing(v):
+        return v is None or (not hasattr(v, "__len__") and bool(pd.isna(v)))
+
     def rows(df):
         out = []
         for r in df[sorted(df.columns)].itertuples(index=False):
-            out.append(tuple("-" if v is None or v != v else str(round(float(v), 6) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "fiu" else str(v) for v in r))
+            out.append(tuple("-" if missing(v) else str(round(float(v), 6) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "fiu" else str(v) for v in r))
         return sorted(out)
 
     got, want = query(spark, sf).toPandas(), duck.execute(sql).df()
