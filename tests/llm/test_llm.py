@@ -224,6 +224,61 @@ def test_url_model_learns(spark):
     assert s[0] > 0.5 and s[1] > 0.5 and s[2] < 0.5 and s[3] < 0.5
 
 
+def test_url_model_on_names_that_the_seed_lacks(spark, sf_dir):
+    """New names of known words are told apart; no host of the test pages stands in the seed; gradients are those of a plain loop."""
+    import pyarrow as pa
+
+    seed = url_filter.seed_urls()
+    known = {u for u, _ in seed}
+    host = lambda u: plain_judge(u, [])[0]
+    assert not {host(u) for u in known} & {host(r.url) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() if r.url}
+    model = url_filter.train(spark, spark.createDataFrame(seed, "url string, label int"))
+    new = [(u, y) for u, y in url_filter.seed_urls(seed=99) if u not in known]
+    parts = [plain_judge(u, [])[:2] for u, _ in new]
+    s, y = model.score(pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts])), np.array([y for _, y in new])
+    assert (s[y == 1] >= 0.5).mean() > 0.85 and (s[y == 0] >= 0.5).mean() < 0.05
+    some = [("a-casino.com", "/x"), ("village.org", "/en/1"), ("b.net", "")]
+    label = np.array([1.0, 0.0, 0.0])
+    got = url_filter.UrlModel.fit(some, label, rounds=20)
+    grams = []
+    for pair in some:
+        c = Counter()
+        for salt, t in ((1, pair[0]), (2, pair[1])):
+            marked = f"^{t}$".encode()
+            for n in url_filter.GRAMS:
+                for i in range(len(marked) - n + 1):
+                    key = int.from_bytes(bytes([salt * 8 + n]) + marked[i : i + n]) & ((1 << 64) - 1)
+                    c[int(textops.mix(np.array([key], np.uint64))[0] % np.uint64(url_filter.BUCKETS))] += 1
+        grams.append(c)
+    w, b = defaultdict(float), 0.0
+    even = [1.5, 0.75, 0.75]
+    for _ in range(20):
+        err = []
+        for c, yy, ev in zip(grams, label, even, strict=True):
+            x = 1 / math.sqrt(sum(c.values()))
+            err.append((1 / (1 + math.exp(-(x * sum(w[k] * v for k, v in c.items()) + b))) - yy) * ev)
+        step = defaultdict(float)
+        for c, e in zip(grams, err, strict=True):
+            for k, v in c.items():
+                step[k] += e * v / math.sqrt(sum(c.values()))
+        for k in set(step) | set(w):
+            w[k] -= 0.5 * (step[k] / math.sqrt(3) + 1e-4 * w[k])
+        b -= 0.5 * sum(err) / 3
+    for k, v in w.items():
+        assert abs(got.weight[k] - v) < 1e-5
+    assert abs(got.bias - b) < 1e-9
+
+
+def test_url_filter_of_odd_tables(spark):
+    seed = url_filter.train(spark, spark.createDataFrame(url_filter.seed_urls(), "url string, label int"))
+    schema = "page_id long, url string, host string, score string"
+    assert url_filter.judge(spark.createDataFrame([], schema), url_filter.RULES, seed).count() == 0
+    rows = [(1, None, "h", "s"), (1, None, "h", "s"), (None, "http://" + "a" * 100_000 + ".com/" + "b/" * 100_000, "h", "s"), (2, "", None, None)]
+    got = url_filter.judge(spark.createDataFrame(rows, schema), url_filter.RULES, seed).collect()
+    assert len(got) == 4 and Counter(r.page_id for r in got) == {1: 2, None: 1, 2: 1}
+    assert {(r.host, r.path, r.rule) for r in got if r.page_id} == {("", "", None)} and all(r.verdict in ("allow", "block") for r in got)
+
+
 # --- searches
 
 
