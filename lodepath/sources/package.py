@@ -1,5 +1,7 @@
-"""Map packages: a magic, then sections of a kind and a length, deflated; read and written as a Spark data source.
+"""Map packages: sections of a map in one deflated file, as tables of (package, kind, content) and of field cells and tags.
 
+packed() and unpacked() work on columns, so that Spark's own readers and writers carry the files:
+unpacked(spark.read.format("binaryFile").load(path)). There is also a data source for local folders:
 `spark.dataSource.register(MapPackageSource)`, then spark.read.format("map_package").load(path) gives (path, kind,
 content) and df.write.format("map_package") takes (kind, content) rows, one file a partition.
 """
@@ -13,41 +15,117 @@ import uuid
 import zlib
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-MAGIC = b"LPKG"
-KINDS = ("meta", "map", "field", "ble", "wifi", "coverage", "zones", "world")
+# Fixed values of the format: magic, version, order of sections (files of before end after the fifth), all little-endian
+# in a deflate stream without a header; a field cell is its index and six hundredths of uT; a tag ends in rssi and samples.
+MAGIC, VERSION = b"HPMP", 1
+KINDS = ("meta", "map", "field", "ble", "world", "paint", "tags", "direction")
+CELL = np.dtype([("i", "<u4"), ("v", "<i2", 6)])
 
 
 def encode(sections: dict[str, bytes]) -> bytes:
-    body = b"".join(struct.pack("<BI", KINDS.index(k), len(sections[k])) + sections[k] for k in KINDS if k in sections)
+    body = MAGIC + struct.pack("<H", VERSION) + b"".join(struct.pack("<I", len(c)) + c for c in (sections.get(k, b"") for k in KINDS))
     z = zlib.compressobj(9, zlib.DEFLATED, -15)
-    return MAGIC + struct.pack("<I", len(body)) + z.compress(body) + z.flush()
+    return z.compress(body) + z.flush()
 
 
 def decode(blob: bytes) -> dict[str, bytes]:
-    if blob[:4] != MAGIC:
-        raise ValueError("not a map package")
-    body = zlib.decompress(blob[8:], -15)
-    if len(body) != struct.unpack("<I", blob[4:8])[0]:
-        raise ValueError("a map package of another length than it says")
-    out, at = {}, 0
-    while at < len(body):
-        kind, n = struct.unpack_from("<BI", body, at)
-        out[KINDS[kind]] = body[at + 5 : at + 5 + n]
-        at += 5 + n
+    """The sections that aren't empty; a file of another magic or version, or cut short, is an error."""
+    body = zlib.decompress(blob, -15)
+    if body[:4] != MAGIC or struct.unpack_from("<H", body, 4)[0] != VERSION:
+        raise ValueError("not a map package, or one of another version")
+    out, at = {}, 6
+    for kind in KINDS:
+        if at == len(body) and kind in KINDS[5:]:
+            break
+        (n,) = struct.unpack_from("<I", body, at)
+        if at + 4 + n > len(body):
+            raise ValueError("a map package that is cut short")
+        if n:
+            out[kind] = body[at + 4 : at + 4 + n]
+        at += 4 + n
     return out
 
 
-def quantised(values: np.ndarray, step: float = 0.01) -> bytes:
-    """Field values as 16-bit multiples of a step; NaN is the least one."""
-    q = np.where(np.isnan(values), -32768, np.clip(np.round(np.nan_to_num(values) / step), -32767, 32767))
-    return q.astype("<i2").tobytes()
+def unpacked(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, kind, content) of the sections of each file of (key, content)."""
 
+    def run(batches):
+        import pandas as pd
 
-def restored(raw: bytes, step: float = 0.01) -> np.ndarray:
-    q = np.frombuffer(raw, "<i2")
-    return np.where(q == -32768, np.nan, q * step)
+        for pdf in batches:
+            rows = [(k, kind, c) for k, blob in zip(pdf[key], pdf["content"], strict=True) for kind, c in decode(blob).items()]
+            yield pd.DataFrame(rows, columns=[key, "kind", "content"])
+
+    return files.select(key, "content").mapInPandas(run, f"`{key}` {files.schema[key].dataType.simpleString()}, kind string, content binary")
+
+
+def packed(sections: DataFrame, key: str) -> DataFrame:
+    """(key, content): one file a key from rows (key, kind, content), of which a key has at most one a kind."""
+    blob = F.udf(lambda rows: encode({r["kind"]: bytes(r["content"]) for r in rows}), "binary")
+    one = sections.where(F.col("kind").isin(*KINDS)).groupBy(key).agg(F.collect_list(F.struct("kind", "content")).alias("s"))
+    return one.select(key, blob("s").alias("content"))
+
+
+VALUES = ("total", "vertical", "horizontal", "sigma_total", "sigma_vertical", "sigma_horizontal")
+
+
+def field_section(cells: DataFrame, key: str, width: float, height: float, cell: float) -> DataFrame:
+    """(key, kind, content): a map's cells (key, i, and VALUES; rows with a null are left out) as its field section."""
+
+    def pack(rows):
+        v = np.array([r[1:] for r in rows], float)
+        out = np.zeros(len(rows), CELL)
+        out["i"], out["v"] = [r[0] for r in rows], np.clip(np.trunc(v * 100 + np.copysign(0.5, v)), -32768, 32767)  # halves away from zero
+        return struct.pack("<fffI", width, height, cell, len(rows)) + out.tobytes()
+
+    row = F.struct(F.col("i").cast("bigint"), *[F.col(v).cast("double") for v in VALUES])
+    one = cells.dropna(subset=["i", *VALUES]).groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("c"))
+    return one.select(key, F.lit("field").alias("kind"), F.udf(pack, "binary")("c").alias("content"))
+
+
+def field_cells(sections: DataFrame, key: str) -> DataFrame:
+    """(key, row, col, and VALUES) of the field sections among (key, kind, content)."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for k, raw in zip(pdf[key], pdf["content"], strict=True):
+                width, height, cell, n = struct.unpack_from("<fffI", raw)
+                if not (width > 0 and height > 0 and cell > 0):
+                    raise ValueError("a field without size")
+                cols, rows = int(np.ceil(width / cell)), int(np.ceil(height / cell))
+                got = np.frombuffer(raw, CELL, n, 16)
+                if n and got["i"].max() >= cols * rows:
+                    raise ValueError("a field cell beyond the map")
+                at = got["i"].astype(np.int64)
+                yield pd.DataFrame({key: k, "row": at // cols, "col": at % cols, **{v: got["v"][:, j] / 100 for j, v in enumerate(VALUES)}})
+
+    kind = sections.schema[key].dataType.simpleString()
+    return sections.where("kind = 'field'").select(key, "content").mapInPandas(run, f"`{key}` {kind}, row bigint, col bigint, " + ", ".join(f"{v} double" for v in VALUES))
+
+
+def tag_section(tags: dict[str, tuple[float, float, float, int]], cell: float) -> bytes:
+    """Tags (x cm, y cm, strongest rssi, samples) by id as a ble section."""
+    out = [struct.pack("<fI", cell, len(tags))]
+    for name, (x, y, rssi, n) in sorted(tags.items()):
+        raw = name.encode()[:255]
+        out.append(struct.pack("<B", len(raw)) + raw + struct.pack("<ffbH", x, y, max(-128, min(127, round(rssi))), min(n, 65_535)))
+    return b"".join(out)
+
+
+def tag_rows(raw: bytes) -> list[tuple[str, float, float, int, int]]:
+    """(id, x, y, strongest rssi, samples) of a ble section."""
+    (n,), at, out = struct.unpack_from("<I", raw, 4), 8, []
+    for _ in range(n):
+        size = raw[at]
+        out.append((raw[at + 1 : at + 1 + size].decode(), *struct.unpack_from("<ffbH", raw, at + 1 + size)))
+        at += 1 + size + 11
+    return out
 
 
 class _Reader(DataSourceReader):

@@ -48,15 +48,19 @@ def session_of(path: Column) -> Column:
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """All sessions' rows of a file: session and its columns, typed; root/<session>/<name>.csv.
-
-    Lines are read as text and split by each file's own header, so versions with fewer or more columns mix."""
-    cols = COLUMNS[name]
-    empty = T.StructType([T.StructField("session", S), *[T.StructField(c, k) for c, k in cols.items()]])
+    """All sessions' rows of a file: session and its columns, typed; root/<session>/<name>.csv."""
     pattern = f"{root}/*/{name}.csv"
     if not present(spark, pattern):
-        return spark.createDataFrame([], empty)
-    lines = spark.read.text(pattern).select(session_of(F.col("_metadata.file_path")).alias("session"), F.regexp_replace("value", "[\r﻿]", "").alias("line"))
+        return spark.createDataFrame([], T.StructType([T.StructField("session", S), *[T.StructField(c, k) for c, k in COLUMNS[name].items()]]))
+    return decoded(spark.read.text(pattern).select(session_of(F.col("_metadata.file_path")).alias("session"), F.col("value").alias("line")), name)
+
+
+def decoded(lines: DataFrame, name: str) -> DataFrame:
+    """Rows of a file's (session, line): split by each session's own header, so versions with fewer or more columns mix.
+
+    No lines, or none but headers, give an empty table; sessions without a header have no rows."""
+    cols = COLUMNS[name]
+    lines = lines.select("session", F.regexp_replace("line", "[\r\ufeff]", "").alias("line"))
     first = next(iter(cols))
     is_head = F.col("line").rlike(rf'^"?{first}"?\s*(,|$)')
     heads = lines.where(is_head).groupBy("session").agg(F.first("line").alias("head")).distinct()
@@ -67,7 +71,7 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
         rows = lines.where(~is_head & (F.col("line") != "")).join(heads.where(F.col("head") == head).select("session"), "session", "left_semi").select("session", F.from_csv("line", F.lit(schema)).alias("r"))
         typed = [(F.trim(F.col(f"r.c{names.index(c)}")) if c in names else F.lit(None).cast("string")).try_cast(k).alias(c) for c, k in cols.items()]
         out = rows.select("session", *typed) if out is None else out.unionByName(rows.select("session", *typed))
-    return out if out is not None else spark.createDataFrame([], empty)
+    return out if out is not None else lines.where("false").select("session", *[F.lit(None).cast(k).alias(c) for c, k in cols.items()])
 
 
 def meta(spark: SparkSession, root: str) -> DataFrame:
@@ -94,6 +98,16 @@ def wifi(rows: DataFrame) -> DataFrame:
     return rows.where("t_ms is not null and rssi is not null").select("session", "t_ms", b.alias("bssid"), "rssi", F.coalesce("freq", F.lit(0)).alias("freq")).where("bssid <> ''")
 
 
+def headings(rows: DataFrame) -> DataFrame:
+    """(session, t_ms, deg): true headings; rows without one, or with a negative one (no fix), are left out."""
+    return rows.where("t_ms is not null and true_deg >= 0").select("session", "t_ms", F.col("true_deg").alias("deg"))
+
+
+def with_gravity(rows: DataFrame) -> DataFrame:
+    """imu() rows whose `gravity` falls back to the acceleration where the recorder gave none."""
+    return rows.withColumn("gravity", F.coalesce("gravity", F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z"))))
+
+
 def wifi_scans(rows: DataFrame) -> DataFrame:
     """(session, t_ms, levels): a map of the strongest reading of each access point of a scan."""
     return rows.groupBy("session", "t_ms", "bssid").agg(F.max("rssi").alias("rssi")).groupBy("session", "t_ms").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bssid", "rssi")))).alias("levels"))
@@ -118,7 +132,12 @@ def dropped_spans(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     """(session, kept, reason) and (session, start_ms, end_ms) of quality.json; what can't be read is as if absent."""
     if not present(spark, f"{root}/*/quality.json"):
         return spark.createDataFrame([], "session string, kept boolean, reason string"), spark.createDataFrame([], "session string, start_ms bigint, end_ms bigint")
-    q = spark.read.text(f"{root}/*/quality.json", wholetext=True).select(session_of(F.col("_metadata.file_path")).alias("session"), F.from_json("value", QUALITY).alias("q")).where("q.kept is not null")
+    return quality_of(spark.read.text(f"{root}/*/quality.json", wholetext=True).select(session_of(F.col("_metadata.file_path")).alias("session"), F.col("value").alias("doc")))
+
+
+def quality_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables of dropped_spans() from (session, doc)."""
+    q = docs.select("session", F.from_json("doc", QUALITY).alias("q")).where("q.kept is not null")
     return q.select("session", "q.kept", "q.reason"), q.select("session", F.explode("q.droppedSpansMs").alias("s")).select("session", F.col("s")[0].alias("start_ms"), F.col("s")[1].alias("end_ms"))
 
 
@@ -142,7 +161,13 @@ def merge_streams(streams: list[tuple[str, int, DataFrame]]) -> DataFrame:
 
 def trace_text(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Streams of tab-separated public traces (time, type, values...): one table for each TYPE_*; Wi-Fi rows last seen over 5 s ago are left out."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("session"), F.split("value", "\t").alias("f")).where("size(f) >= 3")
+    session = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
+    return traces(spark.read.text(path).select(session.alias("session"), F.col("value").alias("line")))
+
+
+def traces(lines: DataFrame) -> dict[str, DataFrame]:
+    """The streams of trace_text() from (session, line)."""
+    lines = lines.where(~F.col("line").startswith("#")).select("session", F.split("line", "\t").alias("f")).where("size(f) >= 3")
     base = lines.select("session", F.col("f")[0].try_cast("bigint").alias("t_ms"), F.col("f")[1].alias("type"), F.slice("f", 3, 20).alias("v")).where("t_ms is not null")
     three = lambda kind, names: base.where(F.col("type") == kind).select("session", "t_ms", *[F.try_element_at("v", F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(names)])
     wifi_rows = base.where("type = 'TYPE_WIFI'").select("session", "t_ms", F.lower(F.try_element_at("v", F.lit(2))).alias("bssid"), F.try_element_at("v", F.lit(3)).try_cast("int").alias("rssi"), F.try_element_at("v", F.lit(4)).try_cast("int").alias("freq"), F.try_element_at("v", F.lit(5)).try_cast("bigint").alias("seen"))

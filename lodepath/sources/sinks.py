@@ -47,9 +47,8 @@ def put_versioned(stored: DataFrame, new: DataFrame, key: str, version: str) ->
     return stored.join(taken.select(key), key, "left_anti").unionByName(taken), refused
 
 
-@F.pandas_udf("string")
-def _uuid5(name):
-    return name.map(lambda n: None if n is None else str(uuid.uuid5(uuid.NAMESPACE_URL, n)))
+def _uuid5(name: Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda n: None if n is None else str(uuid.uuid5(uuid.NAMESPACE_URL, n))), "string")(name)
 
 
 def feature_json(units: DataFrame, kind: str, space: str) -> DataFrame:

@@ -235,13 +235,30 @@ def test_stream_equals_replay(spark, tmp_path):
 
 
 def test_package_round_trip(spark, tmp_path):
-    sections = {"meta": b"{}", "field": package.quantised(np.array([1.234, np.nan, -3.0]))}
-    assert package.decode(package.encode(sections)) == sections
-    assert np.allclose(package.restored(sections["field"]), [1.23, np.nan, -3.0], equal_nan=True)
+    import struct
+    import zlib
+
+    sections = {"meta": b"{}", "ble": package.tag_section({"b": (1.5, 2.0, -60.4, 70_000), "a": (0.0, 9.0, -200.0, 3)}, 100.0)}
+    blob = package.encode(sections)
+    body = zlib.decompress(blob, -15)
+    assert body[:6] == b"HPMP\x01\x00" and struct.unpack_from("<I", body, 6)[0] == 2 and body.endswith(b"\0" * 16)
+    assert package.decode(blob) == sections and package.tag_rows(sections["ble"]) == [("a", 0.0, 9.0, -128, 3), ("b", 1.5, 2.0, -60, 65_535)]
+    z = zlib.compressobj(9, zlib.DEFLATED, -15)
+    assert package.decode(z.compress(body[:-12]) + z.flush()) == sections  # files of before end after five sections
+    for wrong in (b"XXXX" + body[4:], body[:-2], body[:20]):
+        z = zlib.compressobj(9, zlib.DEFLATED, -15)
+        with pytest.raises((ValueError, struct.error)):
+            package.decode(z.compress(wrong) + z.flush())
     spark.dataSource.register(package.MapPackageSource)
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in sections.items()], "kind string, content binary").coalesce(1)
     df.select(F.lit("").alias("path"), "kind", "content").write.format("map_package").mode("append").save(str(tmp_path / "p"))
     assert {r.kind: bytes(r.content) for r in spark.read.format("map_package").load(str(tmp_path / "p")).collect()} == sections
+    files = spark.read.format("binaryFile").load(str(tmp_path / "p"))
+    assert {r.kind: bytes(r.content) for r in package.unpacked(files).collect()} == sections
+    cells = [("m", i, *[rng_ for rng_ in (40.126 + i, -3.004, 500.0, 0.5, 0.0, 0.25)]) for i in (5, 0, 11)] + [("m", 3, None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    c = spark.createDataFrame(cells, "map string, i int, " + ", ".join(f"{v} double" for v in package.VALUES))
+    back = package.field_cells(package.field_section(c, "map", 390.0, 250.0, 100.0), "map").collect()
+    assert {(r.row, r.col): (r.total, r.vertical, r.horizontal) for r in back} == {(1, 1): (45.13, -3.0, 327.67), (0, 0): (40.13, -3.0, 327.67), (2, 3): (51.13, -3.0, 327.67)}
 
 
 def test_forward_asof_of_a_long_key_is_linear(spark):
