@@ -188,3 +188,42 @@ def matched_map(sessions: DataFrame, maps: DataFrame, tolerance: float = 1.0) ->
 def versions(rows: DataFrame, by: list[str], version: str, name: str) -> DataFrame:
     """rows with `rank`: a listing by version, newest first, equal ones by name."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(version), name)))
+
+
+def walkable(corridors: DataFrame, width: float, height: float, cell: float = 25.0, margin: float = 20.0, turn_deg: float = 20.0) -> DataFrame:
+    """row, col, state, axis: cells whose centre is within a corridor's half width and the margin.
+
+    corridors: corridor, ax, ay, bx, by, width. axis is the first corridor's direction in [0, pi); state is 'corridor',
+    or 'junction' where a later corridor's direction differs from it by more than turn_deg."""
+    c = corridors.withColumn("ux", F.col("bx") - F.col("ax")).withColumn("uy", F.col("by") - F.col("ay")).withColumn("len2", F.expr("ux * ux + uy * uy")).where("len2 > 1e-6")
+    half = F.greatest("width", F.lit(0.0)) / 2 + margin
+    angle = F.pmod(F.atan2("uy", "ux"), F.lit(math.pi))
+    px, py = (F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell
+    in_map = F.col("cx").between(0, math.ceil(width / cell) - 1) & F.col("cy").between(0, math.ceil(height / cell) - 1)
+    j = cells_of(c.withColumn("angle", angle), half, cell).where(in_map)
+    t = F.greatest(F.least(((px - F.col("ax")) * F.col("ux") + (py - F.col("ay")) * F.col("uy")) / F.col("len2"), F.lit(1.0)), F.lit(0.0))
+    j = j.withColumn("t", t).where(F.hypot(px - F.col("ax") - F.col("t") * F.col("ux"), py - F.col("ay") - F.col("t") * F.col("uy")) <= half)
+    first = F.first("angle").over(Window.partitionBy("cx", "cy").orderBy("corridor"))
+    j = j.withColumn("axis", first).withColumn("d", F.abs(F.col("axis") - F.col("angle")))
+    turned = F.max((F.least("d", F.lit(math.pi) - F.col("d")) > math.radians(turn_deg)).cast("int"))
+    return j.groupBy(F.col("cy").alias("row"), F.col("cx").alias("col")).agg(F.when(turned == 1, "junction").otherwise("corridor").alias("state"), F.min("axis").alias("axis"))
+
+
+def identifiability(scored: DataFrame, by: list[str], hit: float = 1.5, apart: float = 3.0) -> DataFrame:
+    """by, n, top1_rate, median_err, p90_err, ambiguity: how surely a stretch of field tells its place.
+
+    scored: by, window, cand, d (distance of the fields), x, y (the candidate's place), tx, ty (the window's). The best
+    candidate of a window is that of least (d, cand); ambiguity is the median ratio of the least d among candidates
+    over `apart` from the best one to its own. Windows of a group are counted by distinct values, not collected."""
+    from lodepath.functions import quantiles as qt
+
+    keys = [*by, "window"]
+    best = scored.groupBy(*keys).agg(F.min(F.struct("d", "cand", "x", "y", "tx", "ty")).alias("b"))
+    far = F.hypot(F.col("x") - F.col("b.x"), F.col("y") - F.col("b.y")) > apart
+    second = scored.join(best, keys).where(far).groupBy(*keys).agg((F.min("d") / F.first("b.d")).alias("ratio"), F.first("b.d").alias("_d")).where("_d > 0").drop("_d")
+    err = best.select(*keys, F.hypot(F.col("b.x") - F.col("b.tx"), F.col("b.y") - F.col("b.ty")).alias("err"))
+    middle = {"lo": lambda n: F.floor((n - 1) / 2), "hi": lambda n: F.floor(n / 2)}
+    e = qt.order_statistics(err, by, "err", {**middle, "p90_err": lambda n: qt.truncated(n, 0.9)}).withColumn("median_err", (F.col("lo") + F.col("hi")) / 2)
+    r = qt.order_statistics(second, by, "ratio", middle).select(*by, ((F.col("lo") + F.col("hi")) / 2).alias("ambiguity"))
+    rate = err.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("err") <= hit).cast("int")).alias("top1_rate"))
+    return rate.join(e.select(*by, "median_err", "p90_err"), by).join(r, by, "left")

@@ -79,10 +79,14 @@ def offsets(links: list[tuple], sizes: dict, strong: int = 20, weak: int = 4, we
     return out
 
 
-def solve_offsets(cells: DataFrame, session: str, cell: list[str], value: str) -> DataFrame:
-    """(session, component, offset): edges come from Spark as one row a pair of sessions, the system is solved on the driver."""
+def solve_offsets(cells: DataFrame, session: str, cell: list[str], value: str, most_links: int = 200_000) -> DataFrame:
+    """(session, component, offset): edges come from Spark as one row a pair of sessions, the system is solved on the driver.
+
+    It is a map's sessions that are solved, not a corpus; over most_links pairs is an error."""
     spark = cells.sparkSession
-    links = [tuple(r) for r in edges(cells, session, cell, value).select("a", "b", "n", "med", "mad").collect()]
+    links = [tuple(r) for r in edges(cells, session, cell, value).select("a", "b", "n", "med", "mad").limit(most_links + 1).collect()]
+    if len(links) > most_links:
+        raise ValueError(f"more than {most_links} pairs of sessions share cells; solve map by map")
     sizes = {r[0]: r[1] for r in cells.groupBy(session).count().collect()}
     rows = [(s, k, o) for s, (k, o) in offsets(links, sizes).items()]
     return spark.createDataFrame(rows, f"{session} {cells.schema[session].dataType.simpleString()}, component int, offset double")
@@ -148,7 +152,7 @@ def hard_iron(samples: DataFrame, by: list[str]) -> DataFrame:
     def solve(it):
         for pdf in it:
             out = []
-            for _, r in pdf.iterrows():
+            for r in pdf.to_dict("records"):
                 m = np.array([[r[f"{v[min(i, j)]}_{v[max(i, j)]}"] for j in range(4)] for i in range(4)])
                 p = np.linalg.lstsq(m, np.array([r[f"q_{a}"] for a in v]), rcond=None)[0]
                 c = p[:3] / 2

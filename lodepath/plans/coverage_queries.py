@@ -131,3 +131,25 @@ def safe_names(spark, d):
 def version_listing(spark, d):
     p = table(spark, d, "part").withColumn("n", F.struct("p_name", "p_partkey"))
     return cv.versions(p, ["p_brand"], "p_size", "n").select("p_brand", "p_partkey", "rank")
+
+
+@query("walkable_raster", """WITH cor AS (SELECT n_nationkey AS corridor, n_nationkey * 10.0 AS p_x, 20.0 AS p_y, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey * 10.0 ELSE 400.0 END AS q_x, n_nationkey * 12.0 + 30 AS q_y, 30.0 AS width FROM nation), g AS (SELECT r.range AS row, c.range AS col, (c.range + 0.5) * 25 AS x, (r.range + 0.5) * 25 AS y FROM range(0, 16) r, range(0, 20) c),
+j AS (SELECT *, q_x - p_x AS ux, q_y - p_y AS uy FROM g, cor WHERE pow(q_x - p_x, 2) + pow(q_y - p_y, 2) > 1e-6), f AS (SELECT *, greatest(least(((x - p_x) * ux + (y - p_y) * uy) / (ux * ux + uy * uy), 1), 0) AS f, CASE WHEN atan2(uy, ux) < 0 THEN atan2(uy, ux) + pi() WHEN atan2(uy, ux) >= pi() THEN atan2(uy, ux) - pi() ELSE atan2(uy, ux) END AS angle FROM j),
+i AS (SELECT *, first_value(angle) OVER (PARTITION BY row, col ORDER BY corridor) AS axis FROM f WHERE sqrt(pow(x - p_x - f * ux, 2) + pow(y - p_y - f * uy, 2)) <= width / 2 + 20)
+SELECT row, col, CASE WHEN max(CAST(least(abs(axis - angle), pi() - abs(axis - angle)) > radians(20) AS INT)) = 1 THEN 'junction' ELSE 'corridor' END AS state, round(min(axis), 6) AS axis FROM i GROUP BY ALL""")
+def walkable_raster(spark, d):
+    n = F.col("n_nationkey")
+    c = table(spark, d, "nation").select(n.alias("corridor"), (n * 10.0).alias("ax"), F.lit(20.0).alias("ay"), F.when(n % 3 == 0, n * 10.0).otherwise(400.0).alias("bx"), (n * 12.0 + 30).alias("by"), F.lit(30.0).alias("width"))
+    return cv.walkable(c, 500.0, 400.0).withColumn("axis", r6("axis"))
+
+
+@query("identifiability", """WITH s AS (SELECT s_nationkey % 5 AS map, s_suppkey AS win, n_nationkey AS cand, pow(s_acctbal / 500 - n_nationkey, 2) + 0.5 AS d, n_nationkey * 1.0 AS x, 0.0 AS y, s_nationkey * 1.0 AS tx, 0.5 AS ty FROM supplier JOIN nation ON n_regionkey = s_nationkey % 5),
+b AS (SELECT *, row_number() OVER (PARTITION BY map, win ORDER BY d, cand) AS n FROM s), o AS (SELECT map, win, d, x, y, sqrt(pow(x - tx, 2) + pow(y - ty, 2)) AS err FROM b WHERE n = 1), r AS (SELECT o.map, o.win, min(s.d) / o.d AS ratio FROM s JOIN o ON s.map = o.map AND s.win = o.win WHERE sqrt(pow(s.x - o.x, 2) + pow(s.y - o.y, 2)) > 3 AND o.d > 0 GROUP BY o.map, o.win, o.d),
+e AS (SELECT map, count(*) AS n, avg(CAST(err <= 1.5 AS INT)) AS rate, list_sort(list(err)) AS v FROM o GROUP BY map), a AS (SELECT map, list_sort(list(ratio)) AS v FROM r GROUP BY map)
+SELECT e.map, n, round(rate, 6) AS top1_rate, round((e.v[(n - 1) // 2 + 1] + e.v[n // 2 + 1]) / 2, 6) AS median_err, round(e.v[least(n - 1, CAST(floor(0.9 * n) AS INT)) + 1], 6) AS p90_err, round((a.v[(len(a.v) - 1) // 2 + 1] + a.v[len(a.v) // 2 + 1]) / 2, 6) AS ambiguity FROM e LEFT JOIN a ON a.map = e.map""")
+def identifiability(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("map"), F.col("n_nationkey").alias("cand"))
+    s = table(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("map"), F.col("s_suppkey").alias("window"), (F.col("s_acctbal") / 500).alias("f"), (F.col("s_nationkey") * 1.0).alias("tx"))
+    j = s.join(n, "map").select("map", "window", "cand", (F.pow(F.col("f") - F.col("cand"), F.lit(2)) + 0.5).alias("d"), (F.col("cand") * 1.0).alias("x"), F.lit(0.0).alias("y"), "tx", F.lit(0.5).alias("ty"))
+    out = cv.identifiability(j, ["map"])
+    return out.select("map", "n", *[r6(c).alias(c) for c in ("top1_rate", "median_err", "p90_err", "ambiguity")])

@@ -232,3 +232,16 @@ def log_chunks(spark: SparkSession, root: str, day: str) -> DataFrame:
 def log_filter(logs: DataFrame, levels: list[str], text: str = "") -> DataFrame:
     """Lines of these levels whose fields together hold the text, in any case."""
     return logs.where(F.col("level").isin(*levels) & F.contains(F.lower(F.concat_ws(" ", "device", "cat", "msg")), F.lit(text.lower())))
+
+
+def listing(spark: SparkSession, path: str, limit: int, after: tuple | None = None) -> tuple[list, tuple | None]:
+    """One page of a folder's files, newest first and equal times by name: ((path, time, length) rows, cursor of the next page or None).
+
+    `after` is the cursor of the page before. Only names and times are read, never contents; empty files aren't listed."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
+    if after is not None:
+        time, name = F.lit(after[0]), F.lit(after[1])
+        f = f.where((F.col("modificationTime") < time) | ((F.col("modificationTime") == time) & (F.col("path") > name)))
+    rows = f.orderBy(F.desc("modificationTime"), "path").limit(limit + 1).collect()
+    page = rows[:limit]
+    return page, ((page[-1]["modificationTime"], page[-1]["path"]) if len(rows) > limit else None)

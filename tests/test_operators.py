@@ -343,6 +343,42 @@ def test_sessions_of_mixed_versions(spark, tmp_path):
     assert tuple(ss.shifted(t, ss.meta(spark, str(tmp_path)), "x", "y").first()) == ("a", 11.0, 22.0)
 
 
+def test_listing_by_pages(spark, tmp_path):
+    import os
+
+    from lodepath.sources import sessions as ss
+
+    for i in range(7):
+        f = tmp_path / f"f{i}.zip"
+        f.write_bytes(b"x" * (i + 1))
+        os.utime(f, (1_000_000 + i // 2, 1_000_000 + i // 2))
+    seen, after = [], None
+    while True:
+        page, after = ss.listing(spark, str(tmp_path), 3, after)
+        seen += [r.path.rsplit("/", 1)[1] for r in page]
+        if after is None:
+            break
+    assert seen == [f"f{i}.zip" for i in (6, 4, 5, 2, 3, 0, 1)]
+
+
+def test_drift_and_split_are_seeded(spark):
+    from lodepath.operators import coverage as cv
+
+    rows = [(k, t * 100, float(t), 0.0) for k in "ab" for t in range(50)]
+    df = spark.createDataFrame(rows, "k string, t long, x double, y double")
+    one, two = (sorted(map(tuple, cv.drifted(d, "k", "t", "x", "y", 0.0, 0.0, 5).collect())) for d in (df, df.repartition(7)))
+    assert one == two and len(one) == 100
+    for k in "ab":  # neither scale nor drift: lengths stay
+        p = [r[2:] for r in one if r[0] == k]
+        assert all(abs(math.dist(p[i], p[j]) - abs(i - j)) < 1e-9 for i in range(50) for j in range(50))
+    bent = [r[2:] for r in sorted(map(tuple, cv.drifted(df, "k", "t", "x", "y", 0.05, 0.3, 5).collect())) if r[0] == "a"]
+    assert math.dist(bent[0], bent[24]) + math.dist(bent[24], bent[49]) > math.dist(bent[0], bent[49]) + 0.01
+    ids = spark.createDataFrame([(f"s{i:02}",) for i in range(20)], "id string")
+    names = [f"s{i:02}" for i in range(20)]
+    random.Random(3).shuffle(names)
+    assert {r.id for r in cv.seeded_split(ids, "id", 6, 3).where("test").collect()} == set(names[:6])
+
+
 def test_wifi_scans(spark):
     from lodepath.sources import sessions as ss
 
