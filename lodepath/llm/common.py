@@ -27,9 +27,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own if that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; one of our own where that is unset in local mode (tests), an error elsewhere."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="lodepath-")
         shared_dir.own = got
     return got.rstrip("/")
