@@ -77,8 +77,8 @@ def ray_hits(rays: DataFrame, segments: DataFrame, rid: str, cell: float) -> Dat
     s = s.select("ax", "ay", "bx", "by", "_gx", "_gy").distinct()
     ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     den = F.col("dx") * ey - F.col("dy") * ex
-    t = ((F.col("ax") - F.col("x")) * ey - (F.col("ay") - F.col("y")) * ex) / den
-    u = ((F.col("ax") - F.col("x")) * F.col("dy") - (F.col("ay") - F.col("y")) * F.col("dx")) / den
+    t = F.try_divide((F.col("ax") - F.col("x")) * ey - (F.col("ay") - F.col("y")) * ex, den)
+    u = F.try_divide((F.col("ax") - F.col("x")) * F.col("dy") - (F.col("ay") - F.col("y")) * F.col("dx"), den)
     return r.join(s, ["_gx", "_gy"]).withColumn("_den", den).where("abs(_den) > 1e-12").withColumn("_t", t).withColumn("_u", u).where("_t >= 0 and _t <= reach and _u >= 0 and _u <= 1").groupBy(rid).agg(F.min("_t").alias("distance"))
 
 
@@ -92,8 +92,8 @@ def crossings(segments: DataFrame, sid: str, cell: float, tolerance: float) -> D
     both = a.join(b, ["_gx", "_gy"]).where("a < b").drop("_gx", "_gy").distinct()
     px, py, qx, qy = F.expr("pbx - pax"), F.expr("pby - pay"), F.expr("qbx - qax"), F.expr("qby - qay")
     den = px * qy - py * qx
-    t = ((F.col("qax") - F.col("pax")) * qy - (F.col("qay") - F.col("pay")) * qx) / den
-    u = ((F.col("qax") - F.col("pax")) * py - (F.col("qay") - F.col("pay")) * px) / den
+    t = F.try_divide((F.col("qax") - F.col("pax")) * qy - (F.col("qay") - F.col("pay")) * qx, den)
+    u = F.try_divide((F.col("qax") - F.col("pax")) * py - (F.col("qay") - F.col("pay")) * px, den)
     lp, lq = F.hypot(px, py), F.hypot(qx, qy)
     met = both.withColumn("_den", den).where("abs(_den) > 1e-9").withColumn("t", t).withColumn("u", u).withColumn("_lp", lp).withColumn("_lq", lq)
     met = met.where((F.col("t") * F.col("_lp")).between(-tolerance, F.col("_lp") + tolerance) & (F.col("u") * F.col("_lq")).between(-tolerance, F.col("_lq") + tolerance))
