@@ -44,13 +44,13 @@ KIND[0x80:0xC0] = TAIL
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+def piece_starts(data: np.ndarray, offs: np.ndarray, special: bytes = SPECIAL) -> np.ndarray:
     """Where a text may be cut without changing its ids; texts' own starts are among them.
 
     The tokenizer's pattern begins a match at each of these, whatever stands around: a space before a visible
     character; ASCII punctuation after an ASCII or Latin-1 letter or a digit; a line end after a visible ASCII
     character, and what visible character follows such a line end. (Contractions begin with their apostrophe.)
-    Elsewhere pieces just stay longer; a text that holds the special token isn't cut.
+    Elsewhere pieces just stay longer; a text that holds the special token, if there is one, isn't cut.
     """
     n = len(data)
     cut = np.zeros(n + 1, bool)
@@ -63,7 +63,7 @@ def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     cut[1:n] |= (here == PUNCT) & letter | (here == BREAK) & visible | one_break & ((here == WORD) | (here == PUNCT) | (data[1:] == 0xC3))
     cut[: n - 1] |= (data[:-1] == 0x20) & OPEN[data[1:]]
     raw, at = data.tobytes(), -1
-    while (at := raw.find(SPECIAL, at + 1)) >= 0:  # such a text is one piece
+    while special and (at := raw.find(special, at + 1)) >= 0:  # such a text is one piece
         row = int(np.searchsorted(offs, at, side="right")) - 1
         cut[offs[row] + 1 : offs[row + 1]] = False
     return np.flatnonzero(cut[:n])

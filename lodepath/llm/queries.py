@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodepath.llm import exact_topk, hnsw, lm_score, mixing, ngram_join, packing, quality, surrogates, toxicity, url_filter
+from lodepath.llm import exact_topk, filter_audit, hnsw, lm_score, mixing, ngram_join, packing, quality, range_join, surrogates, token_align, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_pii_surrogates": surrogates.op8_pii_surrogates,
     "op9_packing": packing.op9_packing,
     "op10_lm_score": lm_score.op10_lm_score,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_token_alignment": token_align.op12_token_alignment,
+    "op13_range_join": range_join.op13_range_join,
 }
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op4_exact_topk": exact_topk.ORACLE,
     "op6_ngram_jaccard_join": ngram_join.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_range_join": range_join.ORACLE,
 }
