@@ -54,23 +54,31 @@ def direction_summary(bins: DataFrame, corridors: DataFrame, bin_cm: float = 100
     return out.select("corridor", "n_bins", (F.coalesce("_w", F.lit(0)) / (2 * F.col("n_bins"))).alias("done"), (F.coalesce("_o", F.lit(0)) * bin_cm / 100).alias("one_way_m"))
 
 
-def nearest_unpainted(points: DataFrame, pid: str, x: str, y: str, cells: DataFrame, cell: float, most: int = 100) -> DataFrame:
+def nearest_unpainted(points: DataFrame, pid: str, x: str, y: str, cells: DataFrame, cell: float, most_cm: float = 5000.0) -> DataFrame:
     """pid, row, col, distance of the nearest free cell (cells: row, col): the nearest ring first, then the distance, row and column.
 
-    Rings are searched up to 1, 2, 4 ... `most` cells away, each time for the points that have found none, by an equi-join."""
-    rest = points.select(pid, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(x) / cell).cast("bigint").alias("ci"), (F.col(y) / cell).cast("bigint").alias("cj"))
-    out, low, high = None, 0, 1
-    while low <= most:
-        ring = F.greatest(F.abs(F.col("col") - F.col("ci")), F.abs(F.col("row") - F.col("cj")))
-        near = rest.withColumn("col", F.explode(F.sequence(F.col("ci") - high, F.col("ci") + high))).withColumn("row", F.explode(F.sequence(F.col("cj") - high, F.col("cj") + high)))
-        dist = F.hypot((F.col("col") + 0.5) * cell - F.col("x"), (F.col("row") + 0.5) * cell - F.col("y"))
-        hit = near.withColumn("ring", ring).where(F.col("ring").between(low, high)).join(cells, ["row", "col"]).withColumn("distance", dist)
-        best = hit.groupBy(pid).agg(F.min(F.struct("ring", "distance", "row", "col")).alias("b")).select(pid, "b.row", "b.col", "b.distance")
-        out = best if out is None else out.unionByName(best)
-        rest, low, high = rest.join(best.select(pid), pid, "left_anti"), high + 1, min(most, 2 * high)
-        if low > high:
-            break
-    return out
+    Rings are searched up to most_cm; a point that finds none has nulls. A look of size s joins each point with the free cells of
+    the nine blocks of s x s cells around it, which hold all rings up to s; points that found none look again with blocks of
+    twice the size. Each look's plan is cut, and the search ends when all points have found theirs."""
+    from lodepath.operators.graphs import checkpointed
+
+    most = int(most_cm / cell)
+    every = points.select(pid, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(x) / cell).cast("bigint").alias("ci"), (F.col(y) / cell).cast("bigint").alias("cj"))
+    free = checkpointed(cells.select("row", "col").distinct())
+    rest, out, size = checkpointed(every.where("x is not null and y is not null")), None, min(4, max(most, 1))
+    ring = F.greatest(F.abs(F.col("col") - F.col("ci")), F.abs(F.col("row") - F.col("cj")))
+    dist = F.hypot((F.col("col") + 0.5) * cell - F.col("x"), (F.col("row") + 0.5) * cell - F.col("y"))
+    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    while True:
+        near = rest.withColumn("bi", F.explode(F.transform(around, lambda k: F.floor(F.col("ci") / size) + k))).withColumn("bj", F.explode(F.transform(around, lambda k: F.floor(F.col("cj") / size) + k)))
+        there = free.withColumn("bi", F.floor(F.col("col") / size)).withColumn("bj", F.floor(F.col("row") / size))
+        hit = near.join(there, ["bi", "bj"]).withColumn("ring", ring).withColumn("distance", dist).where(F.col("ring") <= min(size, most))
+        best = checkpointed(hit.groupBy(pid).agg(F.min(F.struct("ring", "distance", "row", "col")).alias("b")).select(pid, "b.row", "b.col", "b.distance"))
+        out = best if out is None else out.unionAll(best)
+        rest = checkpointed(rest.join(best.select(pid), pid, "left_anti"))
+        if size >= most or rest.isEmpty():
+            return points.select(pid).join(out, pid, "left")
+        size = min(2 * size, most)
 
 
 def room_masses(particles: DataFrame, by: list[str], logw: str, room: str) -> DataFrame:

@@ -43,7 +43,7 @@ def raster_max_merge(spark, d):
 
 @query("nearest_unpainted", f"""WITH {EV}, p AS (SELECT DISTINCT CAST(floor(value / 10) AS BIGINT) AS row, CAST(k % 50 AS BIGINT) AS col FROM ev), g AS (SELECT r.range AS row, c.range AS col FROM range(0, 60) r, range(0, 60) c), free AS (SELECT * FROM g ANTI JOIN p USING (row, col)),
 q AS (SELECT s_suppkey, s_nationkey * 20.0 + 3 AS x, (s_suppkey * 7 % 100) * 5.0 AS y FROM supplier), j AS (SELECT s_suppkey, row, col, greatest(abs(col - CAST(trunc(x / 10) AS BIGINT)), abs(row - CAST(trunc(y / 10) AS BIGINT))) AS ring, sqrt(pow((col + 0.5) * 10 - x, 2) + pow((row + 0.5) * 10 - y, 2)) AS dist FROM q, free),
-n AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY ring, dist, row, col) AS n FROM j WHERE ring <= 100) SELECT s_suppkey, row, col, round(dist, 6) AS distance FROM n WHERE n = 1""")
+n AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY ring, dist, row, col) AS n FROM j WHERE ring <= 500) SELECT s_suppkey, row, col, round(dist, 6) AS distance FROM q LEFT JOIN (SELECT s_suppkey, row, col, dist FROM n WHERE n = 1) USING (s_suppkey)""")
 def nearest_unpainted(spark, d):
     painted = events(spark, d).select(F.floor(F.col("value") / 10).alias("row"), (F.col("k") % 50).cast("bigint").alias("col")).distinct()
     grid = spark.range(60).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint"))).alias("col"))

@@ -154,6 +154,5 @@ def stream_rates(spark, d):
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     t = s.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", "10 seconds")
     agg = t.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    base = shared_folder(spark)
-    out = run_to_end(agg, f"rates_{uuid.uuid4().hex}", "complete", f"{base}/stream-{uuid.uuid4().hex}")
+    out = run_to_end(agg, "complete", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     return out.select("event_type", F.floor(F.unix_millis(F.col("window.start")) / DAY).alias("day"), "n", F.round("v", 2).alias("total"))

@@ -1,18 +1,19 @@
 """Map packages: sections of a map in one deflated file, as tables of (package, kind, content) and of field cells and tags.
 
 packed() and unpacked() work on columns, so that Spark's own readers and writers carry the files:
-unpacked(spark.read.format("binaryFile").load(path)). There is also a data source for local folders:
-`spark.dataSource.register(MapPackageSource)`, then spark.read.format("map_package").load(path) gives (path, kind,
-content) and df.write.format("map_package") takes (kind, content) rows, one file a partition.
+unpacked(spark.read.format("binaryFile").load(path)). There is also a data source:
+`spark.dataSource.register(MapPackageSource)`, then spark.read.format("map_package").load(path) gives (package, kind,
+content), and write_packages() or df.write.format("map_package") takes such rows and writes one file a package. `path` is a
+folder that the driver and all executors reach: a URI that pyarrow's file systems know, or a shared mount.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 import uuid
 import zlib
+from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -65,7 +66,7 @@ def unpacked(files: DataFrame, key: str = "path") -> DataFrame:
 
 def packed(sections: DataFrame, key: str) -> DataFrame:
     """(key, content): one file a key from rows (key, kind, content), of which a key has at most one a kind."""
-    blob = F.udf(lambda rows: encode({r["kind"]: bytes(r["content"]) for r in rows}), "binary")
+    blob = F.udf(lambda rows: encode({r["kind"]: bytes(r["content"]) for r in rows}), "binary", useArrow=True)
     one = sections.where(F.col("kind").isin(*KINDS)).groupBy(key).agg(F.collect_list(F.struct("kind", "content")).alias("s"))
     return one.select(key, blob("s").alias("content"))
 
@@ -84,7 +85,7 @@ def field_section(cells: DataFrame, key: str, width: float, height: float, cell:
 
     row = F.struct(F.col("i").cast("bigint"), *[F.col(v).cast("double") for v in VALUES])
     one = cells.dropna(subset=["i", *VALUES]).groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("c"))
-    return one.select(key, F.lit("field").alias("kind"), F.udf(pack, "binary")("c").alias("content"))
+    return one.select(key, F.lit("field").alias("kind"), F.udf(pack, "binary", useArrow=True)("c").alias("content"))
 
 
 def field_cells(sections: DataFrame, key: str) -> DataFrame:
@@ -128,33 +129,102 @@ def tag_rows(raw: bytes) -> list[tuple[str, float, float, int, int]]:
     return out
 
 
+SUFFIX = ".lpkg"
+
+
+def files_of(path: str):
+    """(pyarrow file system, path in it)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def listed(path: str) -> list[str]:
+    """The package files of a folder, or the one file that path names."""
+    from pyarrow import fs
+
+    store, at = files_of(path)
+    info = store.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return [at]
+    return sorted(f.path for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.type == fs.FileType.File and f.path.endswith(SUFFIX))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self):
-        files = sorted(glob.glob(os.path.join(self.path, "*.lpkg")) if os.path.isdir(self.path) else glob.glob(self.path))
-        return [InputPartition(f) for f in files]
+        return [InputPartition(f) for f in listed(self.path)]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            for kind, content in decode(f.read()).items():
-                yield (partition.value, kind, content)
+        store, _ = files_of(self.path)
+        with store.open_input_stream(partition.value) as f:
+            sections = decode(f.read())
+        name = unquote(partition.value.rsplit("/", 1)[-1].removesuffix(SUFFIX))
+        for kind, content in sections.items():
+            yield (name, kind, content)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]]  # (package, file as yet under another name)
 
 
 class _Writer(DataSourceWriter):
+    """A task writes each of its packages under a passing name; commit() names them, so a failed or repeated task leaves nothing half."""
+
     def __init__(self, path: str, overwrite: bool):
-        self.path = path
+        self.path, self.overwrite = path, overwrite
 
     def write(self, rows):
-        sections = {r.kind: bytes(r.content) for r in rows}
-        if sections:
-            os.makedirs(self.path, exist_ok=True)
-            at = os.path.join(self.path, f"{uuid.uuid4().hex}.lpkg")
-            with open(at + ".part", "wb") as f:
+        store, at = files_of(self.path)
+        store.create_dir(at, recursive=True)
+        done, name, sections = [], None, {}
+
+        def close():
+            file = f"{at}/.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(file) as f:
                 f.write(encode(sections))
-            os.replace(at + ".part", at)  # a task that is tried again leaves no half file
-        return WriterCommitMessage()
+            done.append((name, file))
+
+        for r in rows:
+            if r.package is None or r.kind not in KINDS:
+                raise ValueError(f"a section without a package, or of no known kind: {r.package}, {r.kind}")
+            if r.package != name:
+                if name is not None:
+                    close()
+                if any(r.package == n for n, _ in done):
+                    raise ValueError(f"the sections of {r.package} don't lie together: use write_packages()")
+                name, sections = r.package, {}
+            if r.kind in sections:
+                raise ValueError(f"{r.package} has two sections {r.kind}")
+            sections[r.kind] = bytes(r.content or b"")
+        if name is not None:
+            close()
+        return _Written(done)
+
+    def commit(self, messages):
+        files = [x for m in messages if m for x in m.files]
+        names = [n for n, _ in files]
+        twice = sorted({n for n in names if names.count(n) > 1}) if len(set(names)) < len(names) else []
+        store, at = files_of(self.path)
+        there = set(listed(self.path))
+        target = {n: f"{at}/{quote(n, safe='')}{SUFFIX}" for n in names}
+        taken = [n for n in names if target[n] in there] if not self.overwrite else []
+        if twice or taken:
+            self.abort(messages)
+            raise ValueError(f"sections of one package lie in several partitions, use write_packages(): {twice[:5]}" if twice else f"already there: {taken[:5]}")
+        for name, file in files:
+            store.move(file, target[name])
+        for old in there - set(target.values()) if self.overwrite else ():
+            store.delete_file(old)
+
+    def abort(self, messages):
+        store, _ = files_of(self.path)
+        for m in messages:
+            for _, file in m.files if m else ():
+                store.delete_file(file)
 
 
 class MapPackageSource(DataSource):
@@ -163,10 +233,18 @@ class MapPackageSource(DataSource):
         return "map_package"
 
     def schema(self) -> str:
-        return "path string, kind string, content binary"
+        return "package string, kind string, content binary"
 
     def reader(self, schema):
-        return _Reader(self.options["path"].removeprefix("file://"))
+        return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"].removeprefix("file://"), overwrite)
+        return _Writer(self.options["path"], overwrite)
+
+
+def write_packages(sections: DataFrame, path: str, mode: str = "append") -> None:
+    """Rows (package, kind, content) as one file a package; a package with two sections of a kind is an error, and so is one
+    that is there already unless mode is overwrite, which leaves the new packages only."""
+    sections.sparkSession.dataSource.register(MapPackageSource)
+    rows = sections.select(F.col("package").cast("string"), "kind", "content")
+    rows.repartition("package").sortWithinPartitions("package").write.format("map_package").mode(mode).save(path)

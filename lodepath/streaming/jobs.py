@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 HUB = "device string, recv timestamp, type string, t bigint, level string, cat string, msg string, mode string, x double, y double"
 
@@ -35,10 +36,24 @@ def write_chunks(stream: DataFrame, path: str, checkpoint: str, every: str = "30
     return by_day.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).partitionBy("day", "device").trigger(processingTime=every)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there, through a memory table (tests and demonstrations)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination(600)
-    if q.isActive:
-        q.stop()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """All that is there, as a table in `folder` (a shared one), beside the stream's state.
+
+    Waits until the stream has ended, however long it takes; if it fails, so does this. Each batch is a folder of its own by its
+    number, so a batch that is run again replaces itself; in complete mode the last batch is the whole result. With the
+    same folder a later call goes on where this one ended."""
+    rows = f"{folder}/rows"
+
+    def keep(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={k}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    spark = stream.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(rows)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):  # no batch had a row
+        return spark.createDataFrame([], stream.schema)
+    got = spark.read.schema(StructType(stream.schema.fields).add("batch", "long")).parquet(rows)
+    if mode == "complete":
+        got = got.where(F.col("batch") == got.agg(F.max("batch")).first()[0])
+    return got.drop("batch")

@@ -249,12 +249,22 @@ def test_package_round_trip(spark, tmp_path):
         z = zlib.compressobj(9, zlib.DEFLATED, -15)
         with pytest.raises((ValueError, struct.error)):
             package.decode(z.compress(wrong) + z.flush())
-    spark.dataSource.register(package.MapPackageSource)
-    df = spark.createDataFrame([(k, bytearray(v)) for k, v in sections.items()], "kind string, content binary").coalesce(1)
-    df.select(F.lit("").alias("path"), "kind", "content").write.format("map_package").mode("append").save(str(tmp_path / "p"))
-    assert {r.kind: bytes(r.content) for r in spark.read.format("map_package").load(str(tmp_path / "p")).collect()} == sections
-    files = spark.read.format("binaryFile").load(str(tmp_path / "p"))
-    assert {r.kind: bytes(r.content) for r in package.unpacked(files).collect()} == sections
+    at, rows = str(tmp_path / "p"), [("one", k, bytearray(v)) for k, v in sections.items()] + [("two/é", "meta", bytearray(b"2")), ("two/é", "map", bytearray(b"3"))]
+    df = spark.createDataFrame(rows, "package string, kind string, content binary").repartition(3)
+    package.write_packages(df, at)
+    read = lambda: {(r.package, r.kind): bytes(r.content) for r in spark.read.format("map_package").load(at).collect()}
+    assert read() == {(p, k): bytes(v) for p, k, v in rows}
+    files = spark.read.format("binaryFile").load(at)
+    assert {r.kind: bytes(r.content) for r in package.unpacked(files).where("path like '%one%'").collect()} == sections
+    for wrong in (df.where("package = 'one'"), df.unionAll(df).where("package <> 'one'").withColumn("package", F.lit("three"))):  # one that is there, and a kind that comes twice
+        with pytest.raises(Exception):
+            package.write_packages(wrong, at)
+    apart = spark.createDataFrame([("four", "meta", bytearray(b"1")), ("four", "map", bytearray(b"2"))], "package string, kind string, content binary").repartition(2, "kind")
+    with pytest.raises(Exception):
+        apart.repartitionByRange(2, "kind").write.format("map_package").mode("append").save(at)
+    assert read() == {(p, k): bytes(v) for p, k, v in rows} and not list((tmp_path / "p").glob(".*.part"))
+    package.write_packages(df.where("package <> 'one'"), at, "overwrite")
+    assert set(read()) == {("two/é", "meta"), ("two/é", "map")}
     cells = [("m", i, *[rng_ for rng_ in (40.126 + i, -3.004, 500.0, 0.5, 0.0, 0.25)]) for i in (5, 0, 11)] + [("m", 3, None, 1.0, 1.0, 1.0, 1.0, 1.0)]
     c = spark.createDataFrame(cells, "map string, i int, " + ", ".join(f"{v} double" for v in package.VALUES))
     back = package.field_cells(package.field_section(c, "map", 390.0, 250.0, 100.0), "map").collect()

@@ -19,3 +19,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_hides_no_real_errors():
+    import __spark_entry__ as e
+
+    for error, hidden in ((ModuleNotFoundError("x", name="lodepath.llm"), True), (ModuleNotFoundError("x", name="corpus_pipeline"), True), (ImportError("cannot import name", name="lodepath.llm.common"), False), (ModuleNotFoundError("x", name="lodepath.llm.common"), False), (ImportError("x", name="lodepath.llm"), False)):
+        assert e.absent(error) == hidden
