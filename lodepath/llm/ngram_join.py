@@ -36,7 +36,7 @@ from lodepath.llm.components import component_table
 BLOCK = 512  # classes of a block
 VOLUME = 1 << 18  # and shingles: a block has no more than about either
 FLUSH = 1 << 20
-LOCAL = 1 << 14  # classes of a flush are numbered in 16 bits: it ends beyond 3 * LOCAL, and rows come LOCAL at a time
+LOCAL = 1 << 14  # classes of a flush are numbered in 16 bits: it ends from 3 * LOCAL on, and rows come LOCAL at a time, so numbers stay under OFTEN
 OFTEN = (1 << 16) - 1  # in place of a class's number: a shingle that several classes of a flush have
 MU = 0.5
 WORDS = 16  # 64-bit words of a bitmap
@@ -189,7 +189,7 @@ def scan(k: int, t: int, buckets: int):
                 head = np.arange(len(d)) - np.searchsorted(d, np.arange(rows))[d] < prefixes(n, t)[d]
                 held.append((y[head], number[d[head]]))
                 size += int(head.sum())
-                if size > FLUSH or local > 3 * LOCAL:
+                if size > FLUSH or local >= 3 * LOCAL:
                     if size:
                         yield from flush()
                     flushes += 1
@@ -484,18 +484,23 @@ def search(t: int):
     return run
 
 
-def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80, stored: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text, any others).
 
     Two texts link when 100 * |intersection| >= threshold * |union| of their k-word shingle sets (lower-cased,
     distinct). component_id is the smallest doc_id reachable by links. A null, empty or word-less text has an
     empty set, links with nothing and has its own doc_id. Repeated rows each get a row. A null doc_id is carried;
     it is never a component_id unless all of the component are null. An empty table gives an empty table.
+
+    Inverted lists are named by task and order of rows, so a task that is run again has to meet its rows in the same
+    order. Rows of files come so: say stored=True where docs are no more than files read and columns of them. Others
+    (after a join, say, or a repartition) are written to the shared folder first.
     """
     spark = docs.sparkSession
     ship(spark)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    docs = docs if stored else cut(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = min(1 << 16, 1 << max(10, int(chars >> 24).bit_length()))  # of lists: so many that one fits in a task's memory
@@ -543,7 +548,7 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of 0.9 or more, over all documents."""
-    return ngram_join(table(spark, sf_dir, "documents"), k=3, threshold=90)
+    return ngram_join(table(spark, sf_dir, "documents"), k=3, threshold=90, stored=True)
 
 
 ORACLE = r"""

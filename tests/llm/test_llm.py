@@ -615,3 +615,38 @@ def test_near_copies_over_flushes_tasks_and_long_runs(spark, monkeypatch):
     all_ = [(a, b) for a in range(200) for b in range(a) if ngram_join.may_link(np.array([a]), np.array([b]), n, bits, 80)[0]]
     mine = ngram_join.by_pivots(np.arange(200), n, bits, 80)
     assert {tuple(map(int, e)) for e in ngram_join.forest(np.array(all_), 200)} == {tuple(map(int, e)) for e in ngram_join.forest(mine, 200)}
+
+
+def test_numbers_of_a_flush_stay_under_the_mark_of_frequent_shingles(monkeypatch):
+    """Classes are numbered anew before their 16-bit numbers reach the mark, whatever the sizes of batches."""
+    import pyarrow as pa
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(ngram_join, "TaskContext", Task)
+    n = 5 * ngram_join.LOCAL - 7
+    texts = [f"w{i}" for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["doc_id", "h", "text"])
+    seen, listed = {}, 0
+    for out in ngram_join.scan(3, 90, 1)(iter([batch])):
+        for f, i, k, d in zip(*(out.column(c).to_pylist() for c in ("f", "i", "n", "data")), strict=True):
+            if k >= 0 and i >= 0:
+                assert i < ngram_join.OFTEN
+                seen.setdefault(f, set()).add(i)
+            elif k == -1:
+                assert ngram_join.OFTEN not in np.frombuffer(d, np.uint16, len(d) // 6, len(d) // 6 * 4)
+                listed += len(d) // 6
+    assert listed == sum(map(len, seen.values())) == n and len(seen) > 1
+
+
+def test_ngram_join_after_a_shuffle(spark, odd):
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    shuffled = odd.repartition(5).repartition(2, "text")
+    assert rows(ngram_join.ngram_join(shuffled)) == rows(ngram_join.ngram_join(odd, stored=True))
