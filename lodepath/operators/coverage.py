@@ -8,6 +8,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodepath.operators.spatial import line_cells
+
 
 def safe_name(name: Column) -> Column:
     """True for names of 1 to 120 letters, digits, dots, underscores and hyphens (A-Z a-z 0-9)."""
@@ -20,9 +22,8 @@ def raster_max(rasters: DataFrame, keys: list[str], passes: str, most: int = 255
 
 
 def cells_of(segments: DataFrame, reach: Column, cell: float) -> DataFrame:
-    """segments (ax, ay, bx, by, ...) with `cx`, `cy`: each cell of the box around them, widened by reach."""
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - reach) / cell), F.floor((F.greatest(a, b) + reach) / cell))
-    return segments.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
+    """segments (ax, ay, bx, by, ...) with `cx`, `cy`: each cell that comes within reach of them, along the line and not in its whole box."""
+    return line_cells(segments, reach, cell).withColumnsRenamed({"_cx": "cx", "_cy": "cy"})
 
 
 def direction_bins(tracks: DataFrame, by: list[str], time: str, x: str, y: str, corridors: DataFrame, bin_cm: float = 100.0, cell: float = 100.0) -> DataFrame:
