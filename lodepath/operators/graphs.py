@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(v, root) of every vertex of edges (a, b): least labels spread over edges, with a jump to the label's label each round.
+    """(v, root) of every vertex of edges (a, b), of any type that has an order: least labels spread over edges, with a jump to the label's label each round.
 
     Ends when no label changes; raises if that takes more than most_rounds. Plans are cut by a reliable checkpoint each round, where a checkpoint folder is set."""
     both = edges.select("a", "b").unionAll(edges.select("b", "a")).distinct().persist()
@@ -23,7 +23,7 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
         jump = step.select(F.col("v").alias("_v"), F.col("root").alias("_r"))
         after = step.join(jump, F.col("root") == F.col("_v"), "left").select("v", F.least("root", F.coalesce("_r", "root")).alias("root"))
         after = checkpointed(after)
-        seen = after.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
+        seen = after.agg(F.expr("sum(cast(xxhash64(v, root) as decimal(38, 0)))")).first()[0]
         now = after
         if seen == mark:
             break
