@@ -183,6 +183,17 @@ def anti_checks(spark, d):
     return out
 
 
+@query("link_checks", "WITH e AS (SELECT c_custkey AS a, c_custkey * 7 % (SELECT count(*) + 40 FROM customer) + 1 AS b FROM customer UNION SELECT c_custkey * 7 % (SELECT count(*) + 40 FROM customer) + 1, c_custkey FROM customer WHERE c_nationkey % 2 = 0), v AS (SELECT c_custkey AS v FROM customer) SELECT 'dangling' AS issue, a, b FROM e WHERE b NOT IN (SELECT v FROM v) UNION ALL SELECT 'one way', a, b FROM e WHERE b IN (SELECT v FROM v) AND (b, a) NOT IN (SELECT (a, b) FROM e)")
+def link_checks(spark, d):
+    """Neighbour lists: links to what isn't there, and links that the other side doesn't have."""
+    c = table(spark, d, "customer")
+    other = c.crossJoin(F.broadcast(c.agg((F.count("*") + 40).alias("n")))).select("c_custkey", "c_nationkey", (F.col("c_custkey") * 7 % F.col("n") + 1).alias("o"))
+    e = other.select(F.col("c_custkey").alias("a"), F.col("o").alias("b")).union(other.where("c_nationkey % 2 = 0").select("o", "c_custkey")).distinct()
+    there = e.join(c.select(F.col("c_custkey").alias("b")), "b", "left_semi").select("a", "b")
+    one_way = there.join(e.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    return e.join(c.select(F.col("c_custkey").alias("b")), "b", "left_anti").select(F.lit("dangling").alias("issue"), "a", "b").unionByName(one_way.select(F.lit("one way").alias("issue"), "a", "b"))
+
+
 @query("semi_join_whitelist", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def semi_join_whitelist(spark, d):
     good = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
@@ -197,15 +208,17 @@ def set_ops(spark, d):
     return a.intersect(b).select(F.lit("both").alias("kind"), "nk").unionByName(a.exceptAll(b).distinct().join(b, "nk", "left_anti").select(F.lit("only left").alias("kind"), "nk"))
 
 
-@query("components", "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 10 AS a, l_suppkey * 10 + 1 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.v AND r.root < u.b) SELECT v, min(root) AS root FROM r GROUP BY v")
+@query("components", "WITH RECURSIVE e AS (SELECT c_custkey AS a, 1000000000 + CAST(floor(c_acctbal / 2) AS BIGINT) AS b FROM customer UNION SELECT c_custkey, 2000000000 + c_custkey * c_custkey % 1999 FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.v AND r.root < u.b) SELECT v, min(root) AS root FROM r GROUP BY v")
 def components(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09")
-    return graphs.components(li.select((F.col("l_orderkey") * 10).alias("a"), (F.col("l_suppkey") * 10 + 1).alias("b")).distinct())
+    """Customers joined by equal balances (to 2) or equal codes."""
+    c = table(spark, d, "customer")
+    one, two = 1_000_000_000 + F.floor(F.col("c_acctbal") / 2), 2_000_000_000 + F.col("c_custkey") * F.col("c_custkey") % 1999
+    return graphs.components(c.select(F.col("c_custkey").alias("a"), F.explode(F.array(one, two)).alias("b")).distinct())
 
 
 @query("components_all")
 def components_all(spark, d):
-    """The graph of components over all lines."""
+    """Orders and suppliers joined by all lines."""
     li = table(spark, d, "lineitem")
     return graphs.components(li.select((F.col("l_orderkey") * 10).alias("a"), (F.col("l_suppkey") * 10 + 1).alias("b")).distinct())
 
