@@ -98,6 +98,17 @@ def shelf_name(code: Column) -> Column:
     return F.when(F.instr(code, "#") > 0, F.replace(code, F.lit("#"), F.lit("_"))).when(F.instr(code, "_") > 0, code).otherwise(F.concat(code, F.lit("_1")))
 
 
+def standard_shelf(name: Column) -> Column:
+    """True for names such as A12_3: one or two capitals, up to three digits, and up to three after the underscore."""
+    return name.rlike(r"^[A-Z]{1,2}[0-9]{1,3}_[0-9]{1,3}$")
+
+
+def name_day(name: Column) -> Column:
+    """The last run of exactly eight digits in a name that is a date (yyyyMMdd); null without one."""
+    runs = F.regexp_extract_all(name, F.lit(r"(?<![0-9])([0-9]{8})(?![0-9])"), F.lit(1))
+    return F.try_element_at(F.filter(runs, lambda r: F.try_to_date(r, "yyyyMMdd").isNotNull()), F.lit(-1))
+
+
 def aisle_bay(text: Column) -> Column:
     """(aisle, bay) read from a sign such as `A12-3`; null if it isn't one."""
     p = r"^\s*([A-Za-z]{1,2}\s?\d{1,3})[-_ /](\d{1,3})\s*$"

@@ -100,3 +100,15 @@ def precedence(table: DataFrame, learned: DataFrame, key: str, least: int = 5, f
     use = F.col("tx").isNull() | ((F.col("n") >= least) & (F.hypot(F.col("tx") - F.col("lx"), F.col("ty") - F.col("ly")) > far))
     use = F.coalesce(use, F.lit(False))
     return both.select(key, F.when(use, F.col("lx")).otherwise(F.col("tx")).alias("x"), F.when(use, F.col("ly")).otherwise(F.col("ty")).alias("y"), F.when(use, "learned").otherwise("table").alias("source"))
+
+
+def at_shelves(readings: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
+    """Readings with what is known of their tag (a shelf, or a place); those of tags that aren't known go. A tag known twice counts by its first row."""
+    others = [c for c in tags.columns if c != tag]
+    return readings.join(tags.groupBy(tag).agg(F.min(F.struct(*others)).alias("_at")), tag).select("*", "_at.*").drop("_at")
+
+
+def paired_medians(ref: DataFrame, tgt: DataFrame, keys: list[str], value: str, least: int) -> DataFrame:
+    """keys, ref, tgt, n_ref, n_tgt: medians of two devices' readings where both have at least so many."""
+    med = lambda df, n: df.groupBy(*keys).agg(F.median(value).alias(n), F.count(value).alias(f"n_{n}")).where(F.col(f"n_{n}") >= least)
+    return med(ref, "ref").join(med(tgt, "tgt"), keys)

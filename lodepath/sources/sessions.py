@@ -225,8 +225,12 @@ def unzipped(spark: SparkSession, path: str) -> DataFrame:
 
 def log_chunks(spark: SparkSession, root: str, day: str) -> DataFrame:
     """A day's log lines: root/<day>/<device>/*.ndjson."""
-    schema = "device string, recv bigint, type string, t bigint, level string, cat string, msg string"
-    return spark.read.schema(schema).json(f"{root}/{day}/*/*.ndjson")
+    return log_files(spark, f"{root}/{day}/*/*.ndjson")
+
+
+def log_files(spark: SparkSession, path: str) -> DataFrame:
+    """Log lines of JSON-line files."""
+    return spark.read.schema("device string, recv bigint, type string, t bigint, level string, cat string, msg string").json(path)
 
 
 def log_filter(logs: DataFrame, levels: list[str], text: str = "") -> DataFrame:

@@ -38,6 +38,11 @@ def markdown(df: DataFrame, most: int = 10_000) -> str:
     return "\n".join([line(df.columns), line(["-"] * len(df.columns)), *[line(r) for r in rows]])
 
 
+def report_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines with their nulls: reports and calibrations."""
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def put_versioned(stored: DataFrame, new: DataFrame, key: str, version: str) -> tuple[DataFrame, DataFrame]:
     """(the table after the put, refused rows): a new row is refused where the stored version is newer."""
     s = stored.select(F.col(key).alias("_k"), F.col(version).alias("_v"))

@@ -6,12 +6,16 @@ from conftest import compare
 from lodepath.plans.all_queries import ORACLES, QUERIES
 
 
+#: Queries without SQL that find nothing in the smallest tables; their operators are held against plain loops elsewhere.
+FEW = {"connector_floors", "tap_synchronisation"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf_dir, name):
     if name in ORACLES:
         compare(spark, duck, QUERIES[name], ORACLES[name], sf_dir)
     else:
-        assert QUERIES[name](spark, sf_dir).columns and QUERIES[name](spark, sf_dir).count() >= 0
+        assert QUERIES[name](spark, sf_dir).count() > 0 or name in FEW
 
 
 def test_entry(spark):
