@@ -7,7 +7,7 @@ from lodepath.plans.all_queries import ORACLES, QUERIES
 
 
 #: Queries without SQL that find nothing in the smallest tables; their operators are held against plain loops elsewhere.
-FEW = {"connector_floors", "tap_synchronisation"}
+FEW = {"connector_floors", "floor_changes", "tap_synchronisation"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
