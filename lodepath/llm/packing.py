@@ -125,6 +125,16 @@ class Encoder:
         return flat, np.diff(np.r_[0, to][row])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker process's encoder of a file: tasks that run in it one after another share what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Bm25:
     """An inverted index of a shard: postings of term t are docs[ptr[t]:ptr[t+1]] with their BM25 weights."""
 
@@ -197,7 +207,7 @@ def sequences(total: int, window: int) -> np.ndarray:
 
 def pack(path: str, window: int, last_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, offs in tx.slices(batch.column(1), SHARD):
