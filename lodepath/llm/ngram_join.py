@@ -1,10 +1,12 @@
 """Exact n-gram Jaccard join of whole texts by T-occurrence search.
 
 1. One scan turns each text into its set of shingle hashes. Equal sets are one *class* from here on.
-2. T-occurrence bound over the corpus. Under one random order of all shingles, a set's first
+2. T-occurrence bound over the corpus. Under one order of all shingles, a set's first
    n - need + l shingles (need: the least overlap that a link asks for) hold at least l that any linked set has among its
    own first ones. So the scan sends only these, as inverted lists dealt by ranges of the hash; the lists count how many
    of a class's are shared, and classes with fewer than l, most of a corpus, are done: they link with nothing.
+   Long shingles come first, ties by hash: short ones are of frequent words, and the larger a corpus is, the more of
+   its texts share those by chance.
 3. Sharding of the classes left. Sets that can be linked differ in at most d shingles, d following from size and
    threshold. Cut the shingle space into d + 1 parts: linked sets agree in at least one part (pigeonhole), so classes
    meet in the shard of that part's content. Sizes are in geometric intervals, and a set also signs for the next lower
@@ -131,9 +133,9 @@ def scan(k: int, t: int, buckets: int):
     """From (doc_id, text hash, text): rows (a, b, n, f, i, bytes).
 
     n >= 0: a document (class, doc_id, set size, its class's flush and number there, text hash in `h`); n = -1: an
-    inverted list's part (bucket, -, -, flush, -, 32-bit hashes and 16-bit class numbers); n = -2: a class's count of
-    shared shingles (-, count, -, flush, number). A flush is named by its task and order, so that a task that is run
-    again names it alike."""
+    inverted list's part (bucket, -, -, flush, -, 32-bit hashes and 16-bit class numbers); n = -2: counts of
+    shared shingles of a flush's classes (flush, -, -, flush, -, 32-bit counts and 16-bit class numbers). A flush is named
+    by its task and order, so that a task that is run again names it alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, flushes = TaskContext.get().partitionId(), 0
@@ -169,8 +171,8 @@ def scan(k: int, t: int, buckets: int):
         for batch in (b.slice(at, LOCAL) for b in batches for at in range(0, len(b), LOCAL)):
             for lo, hi, data, offs in tx.slices(batch.column(2)):
                 rows = hi - lo
-                doc, _, _, h = tx.words(data, offs)
-                doc, x = tx.shingle_sets(rows, doc, h, k)
+                doc, starts, ends, h = tx.words(data, offs)
+                doc, x, long = tx.sized_shingle_sets(rows, doc, h, k, ends - starts)
                 key = set_keys(rows, doc, x)
                 n = np.bincount(doc, minlength=rows)
                 number = np.full(rows, -1, np.int32)
@@ -184,7 +186,7 @@ def scan(k: int, t: int, buckets: int):
                 yield out(tx.signed(key), batch.column(0).slice(lo, rows), n.astype(np.int32), np.full(rows, name), number, batch.column(1).slice(lo, rows))
                 new = number[doc] >= 0
                 d, y = doc[new], tx.mix(x[new] ^ tx.U(0x7F4A7C15F39CC060))
-                order = np.lexsort((y, d))
+                order = np.lexsort((y, -long[new], d))
                 d, y = d[order], y[order]
                 head = np.arange(len(d)) - np.searchsorted(d, np.arange(rows))[d] < prefixes(n, t)[d]
                 held.append((y[head], number[d[head]]))
@@ -202,13 +204,37 @@ def scan(k: int, t: int, buckets: int):
 
 
 def counts(f: np.ndarray, i: np.ndarray, out) -> Iterator[pa.RecordBatch]:
-    """Count rows of (flush, number)."""
+    """For each flush one row of its classes' counts."""
     if len(f):
         order = np.lexsort((i, f))
         f, i = f[order], i[order]
         heads = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (i[1:] != i[:-1])])
-        m = len(heads)
-        yield out(f[heads] * 31 + i[heads], np.diff(np.r_[heads, len(f)]), np.full(m, -2, np.int32), f[heads], i[heads].astype(np.int32))
+        times, f, i = np.diff(np.r_[heads, len(f)]).astype(np.uint32), f[heads], i[heads].astype(np.uint16)
+        ends = np.r_[np.flatnonzero(np.r_[True, f[1:] != f[:-1]]), len(f)]
+        data = pa.array([times[p:q].tobytes() + i[p:q].tobytes() for p, q in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        f, none = f[ends[:-1]], np.zeros(len(data), np.int64)
+        yield out(f, none, np.full(len(data), -2, np.int32), f, none.astype(np.int32), data=data)
+
+
+def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, i, shared) from count rows (f, data) sorted by f."""
+    now, total = None, np.zeros(OFTEN + 1, np.int64)
+
+    def close():
+        i = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), now)), pa.array(i.astype(np.int32)), pa.array(total[i])], names=["f", "i", "shared"])
+
+    for batch in batches:
+        for f, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if f != now:
+                if now is not None:
+                    yield close()
+                now = f
+                total[:] = 0
+            m = len(d) // 6
+            total[np.frombuffer(d, np.uint16, m, 4 * m)] += np.frombuffer(d, np.uint32, m)
+    if now is not None:
+        yield close()
 
 
 def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +242,8 @@ def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, bytes]] = []
     now = None
 
-    def out(a, b, n, f, i):
-        m = len(a)
-        return pa.RecordBatch.from_arrays([*map(pa.array, (a, b, n, f, i)), pa.nulls(m, pa.int64())], names=["a", "b", "n", "f", "i", "h"])
+    def out(a, b, n, f, i, data):
+        return pa.RecordBatch.from_arrays([*map(pa.array, (a, b, n, f, i)), pa.nulls(len(a), pa.int64()), data], names=["a", "b", "n", "f", "i", "h", "data"])
 
     def close():
         parts = [(f, np.frombuffer(d, np.uint32, len(d) // 6), np.frombuffer(d, np.uint16, len(d) // 6, len(d) // 6 * 4)) for f, d in held]
@@ -233,7 +258,7 @@ def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         n = batch.column("n").to_numpy()
-        yield batch.filter(pa.array(n != -1)).drop_columns("data")
+        yield batch.filter(pa.array(n != -1))
         lists = batch.filter(pa.array(n == -1))
         for a, f, data in zip(lists.column("a").to_pylist(), lists.column("f").to_pylist(), lists.column("data").to_pylist(), strict=True):
             if a != now and held:
@@ -504,15 +529,15 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80, stored: bool =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = min(1 << 16, 1 << max(10, int(chars >> 24).bit_length()))  # of lists: so many that one fits in a task's memory
-    cols = "a bigint, b bigint, n int, f bigint, i int, h bigint"
-    rows = docs.mapInArrow(scan(k, threshold, buckets), cols + ", data binary")
+    cols = "a bigint, b bigint, n int, f bigint, i int, h bigint, data binary"
+    rows = docs.mapInArrow(scan(k, threshold, buckets), cols)
     spread = F.when(F.col("n") == -1, F.col("a")).otherwise(F.xxhash64("a", "b", "f", "i"))  # copies needn't meet
     met = cut(rows.repartition(parts, spread).sortWithinPartitions("a").mapInArrow(count_shared, cols))
     known = met.where("n >= 0").select(F.col("a").alias("key"), F.col("b").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"))
     some = met.where("n > 0")
     classes = cut(some.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("rep"), F.min(F.struct(F.col("b").alias("doc_id"), "h")).alias("at")))
-    shared = met.where("n = -2").groupBy("f", "i").agg(F.sum("b").alias("shared"))
-    alive = some.where("i >= 0").join(shared, ["f", "i"]).where(f"shared >= {least_shared(threshold)}").select(F.col("a").alias("key")).distinct()
+    shared = met.where("n = -2").select("f", "data").repartition(parts, "f").sortWithinPartitions("f").mapInArrow(sum_counts, "f bigint, i int, shared bigint")
+    alive = cut(some.where("i >= 0").join(shared, ["f", "i"]).where(f"shared >= {least_shared(threshold)}").select(F.col("a").alias("key")).distinct())
     want = classes.join(alive, "key").select(F.col("key").alias("want"), F.col("at.doc_id").alias("id"), F.col("at.h").alias("th"))
     wanted = docs.join(want, docs.doc_id.eqNullSafe(want.id) & (docs.h == want.th)).select("want", "text")
     sets = cut(wanted.mapInArrow(sets_of(k), "key bigint, size int, bits binary, grams binary"))
@@ -535,7 +560,7 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 80, stored: bool =
         .select("unit", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "key", "grams")
     )
     joined = component_table(placed.groupBy("unit", "i", "j").applyInPandas(search(threshold), "a bigint, b bigint"))
-    for done in (sets, cand, weights):
+    for done in (sets, cand, weights, alive):
         drop(done)
     named = classes.select("key", "rep").join(joined, classes.key == joined.v, "left").select("key", "rep", F.coalesce("root", "key").alias("group"))
     least = named.groupBy("group").agg(F.min("rep").alias("component_id"))

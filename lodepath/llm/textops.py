@@ -111,9 +111,14 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def shingle_sets(rows: int, doc: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, hash) of k-word shingles, sorted; fewer than k words make one shingle, none make none."""
+    return sized_shingle_sets(rows, doc, h, k, np.zeros(len(h), np.int64))[:2]
+
+
+def sized_shingle_sets(rows: int, doc: np.ndarray, h: np.ndarray, k: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets(), and the bytes that each shingle's words have, `size` being each word's."""
     counts = np.bincount(doc, minlength=rows)
     n = len(h)
-    parts_d, parts_h = [], []
+    parts_d, parts_h, parts_s = [], [], []
     if n >= k:
         acc = np.zeros(n - k + 1, U)
         for j in range(k):
@@ -121,6 +126,8 @@ def shingle_sets(rows: int, doc: np.ndarray, h: np.ndarray, k: int) -> tuple[np.
         same = doc[: n - k + 1] == doc[k - 1 :]
         parts_d.append(doc[: n - k + 1][same])
         parts_h.append(mix(acc[same] + U(k)))
+        total = np.r_[0, np.cumsum(size)]
+        parts_s.append((total[k:] - total[:-k])[same])
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
         inside = np.isin(doc, short)
@@ -130,13 +137,14 @@ def shingle_sets(rows: int, doc: np.ndarray, h: np.ndarray, k: int) -> tuple[np.
         v = np.add.reduceat(mix(x + (at + 1).astype(U) * U(_R)), np.flatnonzero(first))
         parts_d.append(d[first])
         parts_h.append(mix(v + counts[d[first]].astype(U)))
+        parts_s.append(np.add.reduceat(size[inside], np.flatnonzero(first)))
     if not parts_d:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    d, x = np.concatenate(parts_d), np.concatenate(parts_h)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+    d, x, s = np.concatenate(parts_d), np.concatenate(parts_h), np.concatenate(parts_s)
     order = np.lexsort((x, d))
-    d, x = d[order], x[order]
+    d, x, s = d[order], x[order], s[order]
     new = np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])] if len(d) else np.zeros(0, bool)
-    return d[new], x[new]
+    return d[new], x[new], s[new]
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -650,3 +650,41 @@ def test_ngram_join_after_a_shuffle(spark, odd):
     rows = lambda df: Counter(map(tuple, df.collect()))
     shuffled = odd.repartition(5).repartition(2, "text")
     assert rows(ngram_join.ngram_join(shuffled)) == rows(ngram_join.ngram_join(odd, stored=True))
+
+
+def test_frequent_short_words_leave_no_classes_to_search(spark, monkeypatch):
+    """Texts that share only shingles of frequent words are done by the bound, though nearly half of each one's shingles are shared."""
+    rng = random.Random(5)
+    stop = [f"s{i}" for i in range(8)]
+    rows = [(d, " ".join(rng.choice(stop) if rng.random() < 0.75 else f"rare{rng.randrange(10**9)}" for _ in range(120))) for d in range(400)]
+    rows += [(400, rows[0][1] + " more"), (401, rows[1][1])]
+    seen, cut = [], ngram_join.cut
+
+    def kept(df):
+        out = cut(df)
+        if "grams" in df.columns:
+            seen.append({tuple(r) for r in out.select("key").collect()})
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", kept)
+    got = Counter(tuple(r) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80).collect())
+    assert got == components_of(rows, 3, 80)
+    assert len(seen) == 1 and 2 <= len(seen[0]) <= 20
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    import glob
+    import os
+    import time
+
+    from lodepath.llm.common import CLEAN, cut
+
+    files = lambda: set(glob.glob("/tmp/**/shuffle_*.data", recursive=True))
+    before = files()
+    out = cut(spark.range(10_000).selectExpr("id % 5000 AS k").repartition(4).groupBy("k").count())
+    for _ in range(40):
+        left = {x for x in files() - before if os.path.exists(x)}
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left and out.count() == 5000 and spark.conf.get(CLEAN, None) in (None, "false")
