@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodepath.functions import scalars as sc
 
@@ -46,11 +47,88 @@ def revisits(df: DataFrame, by: list[str], time: str, x: str, y: str, value: str
     return out.select(*by, F.col(f"a_{time}").alias("t_a"), F.col(f"b_{time}").alias("t_b"), F.abs(F.col(f"a_{value}") - F.col(f"b_{value}")).alias("diff"))
 
 
-def nearest(points: DataFrame, sites: DataFrame, by: list[str], pid: str, sid: str, x: str, y: str, radius: float) -> DataFrame:
-    """by, pid, sid, distance of each point's nearest site within the radius (ties to the larger sid); others left out."""
-    s = hashed(sites, x, y, radius).select(*by, "_gx", "_gy", F.col(sid).alias("_sid"), F.col(x).alias("_sx"), F.col(y).alias("_sy"))
-    both = spread(points, x, y, radius).join(s, [*by, "_gx", "_gy"]).withColumn("_d", F.hypot(F.col(x) - F.col("_sx"), F.col(y) - F.col("_sy"))).where(F.col("_d") <= radius)
-    return both.groupBy(*by, pid).agg(F.max_by("_sid", F.struct(-F.col("_d"), F.col("_sid"))).alias(sid), F.min("_d").alias("distance"))
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over at least two tasks a core, by the keys: a small file is one task's, however much work its rows are."""
+    n = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
+
+
+def nearest_places(px, py, sx, sy, radius: float, most: int = 1_000_000):
+    """(site, distance) of the site nearest to each point within the radius, -1 for none; the later of equally near ones. Arrays; at most `most` pairs at once.
+
+    Sites are sorted by cells that hold about one each. What lies within a cell's side is nearest for sure; points that found
+    none so look again with cells of twice the side, up to the radius."""
+    import numpy as np
+
+    best, at = np.full(len(px), np.inf), np.full(len(px), -1)
+    if not len(px) or not len(sx):
+        return at, best
+    x0, y0 = sx.min(), sy.min()
+    cell = min(radius, max(radius / 4096, ((sx.max() - x0) * (sy.max() - y0) / len(sx)) ** 0.5))
+    todo = np.arange(len(px))
+    while len(todo):
+        side = cell * (1 + 1e-9)
+        iy = np.floor((sy - y0) / side).astype(np.int64)
+        wide, top = iy.max() + 6, np.floor((sx.max() - x0) / side)
+        key = np.floor((sx - x0) / side).astype(np.int64) * wide + iy + 2
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        gx, gy = np.clip(np.floor((px[todo] - x0) / side), -2, top + 2).astype(np.int64), np.clip(np.floor((py[todo] - y0) / side), -2, iy.max() + 2).astype(np.int64)
+        mid = ((gx[:, None] + np.array([-1, 0, 1])) * wide) + gy[:, None] + 2
+        low, high = np.searchsorted(key, mid - 1, "left"), np.searchsorted(key, mid + 1, "right")
+        n = (high - low).sum(axis=1)
+        some = np.flatnonzero(n)
+        ends = np.cumsum(n[some])
+        k = 0
+        while k < len(some):
+            z = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, "right")))
+            one = some[k:z]
+            m = (high[one] - low[one]).ravel()
+            site = order[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[one].ravel(), m)]
+            own, head = np.repeat(todo[one], n[one]), np.cumsum(n[one]) - n[one]
+            d = np.sqrt((px[own] - sx[site]) ** 2 + (py[own] - sy[site]) ** 2)
+            least = np.minimum.reduceat(d, head)
+            best[todo[one]], at[todo[one]] = least, np.maximum.reduceat(np.where(d == np.repeat(least, n[one]), site, -1), head)
+            k = z
+        if cell >= radius:
+            break
+        todo = todo[best[todo] > cell]
+        cell = min(2 * cell, radius)
+    at[best > radius] = -1
+    return at, best
+
+
+def nearest(points: DataFrame, sites: DataFrame, by: list[str], pid: str, sid: str, x: str, y: str, radius: float, most: int = 200_000) -> DataFrame:
+    """by, pid, sid, distance of each point's nearest site within the radius (ties to the larger sid); others left out. Rows of one pid are one point in several places.
+
+    Of sites on one place the one of the largest sid counts. Points meet sites by squares of four radii: a point goes to one square, a site also to
+    those it is within a radius of. Squares of more than about `most` points are cut into parts. A square's points look through its sites
+    by cells as wide as the sites are apart there (nearest_places), so work grows little with how many sites are within the radius."""
+    kinds = {f.name: f.dataType for f in points.schema.fields} | {sid: sites.schema[sid].dataType}
+    schema = T.StructType([*[T.StructField(c, kinds[c]) for c in (*by, pid, sid)], T.StructField("distance", T.DoubleType())])
+    whole = lambda df, c: df.select(*by, c, *[F.col(k).cast("double").alias(n) for k, n in ((x, "_x"), (y, "_y"))]).where(" and ".join(["abs(_x) < double('inf') and abs(_y) < double('inf')", *[f"`{k}` is not null" for k in by]]))
+    square = 4 * radius
+    p = hashed(whole(points, pid), "_x", "_y", square)
+    fullest = p.groupBy(*by, "_gx", "_gy").count().agg(F.max("count")).first()[0] or 0
+    parts = -(-fullest // most) or 1
+    p = p.withColumn("_part", F.pmod(F.xxhash64(pid), F.lit(parts)).cast("int"))
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius * 1.001) / square), F.floor((F.col(c) + radius * 1.001) / square)))
+    s = whole(sites, sid).groupBy(*by, "_x", "_y").agg(F.max(sid).alias("_sid"))
+    s = s.withColumn("_gx", span("_x")).withColumn("_gy", span("_y")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(left, right):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        right = right.take(pc.sort_indices(right.column("_sid")))
+        at, d = nearest_places(*[t.column(c).to_numpy() for t in (left, right) for c in ("_x", "_y")], radius)
+        hit = pa.array((at >= 0).nonzero()[0])
+        columns = [left.column(c).take(hit) for c in (*by, pid)]
+        return pa.table([*columns, right.column("_sid").take(pa.array(at[at >= 0])), pa.array(d[at >= 0])], names=schema.names)
+
+    keys = [*by, "_gx", "_gy", "_part"]
+    got = p.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInArrow(run, schema)
+    return got.groupBy(*by, pid).agg(F.max(F.struct((-F.col("distance")).alias("d"), F.col(sid).alias("s"))).alias("_b")).select(*by, pid, F.col("_b.s").alias(sid), (-F.col("_b.d")).alias("distance"))
 
 
 def contain(points: DataFrame, polygons: DataFrame, pid: str, x: str, y: str, ring: str, order: str, cell: float) -> DataFrame:

@@ -420,3 +420,40 @@ def test_versioned_put_and_labels(spark):
     assert {(r.k, r.x) for r in after.collect()} == {("m", "old"), ("n", "new"), ("o", "new")} and [r.k for r in refused.collect()] == ["m"]
     got = a.where("k = 'm'").select(sinks.site_label(F.col("k"), "salt").alias("h")).first().h
     assert got == hmac.new(b"salt", b"m", hashlib.sha256).hexdigest()[:8]
+
+
+def test_nearest_site_among_very_many(spark):
+    """Sites lie on each other, far more of them than points within the radius; as a plain loop finds it, ties to the larger id."""
+    from lodepath.operators.graphs import checkpointed
+
+    rng = random.Random(8)
+    places = [(rng.randint(0, 60) / 4, rng.randint(0, 60) / 4) for _ in range(700)] + [(rng.uniform(40, 90), rng.uniform(0, 50)) for _ in range(60)]
+    sites = [(k, *places[k % len(places)]) for k in range(200 * len(places))]
+    points = [(k, rng.uniform(-6, 100), rng.uniform(-6, 60)) for k in range(1500)] + [(2000, 1.125, 1.0), (2001, None, 1.0)]
+    points += [(k, rng.uniform(-6, 100), 90.0) for k in range(20)] + [(3000, 45.0, 100.0), (3000, *places[-1])]  # rows of one id are one point
+    s = checkpointed(spark.range(len(sites)).select(F.col("id").alias("s"), F.element_at(F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in places]), (F.col("id") % len(places) + 1).cast("int")).alias("p")).select("s", "p.x", "p.y"))
+    p = spark.createDataFrame(points, "p int, x double, y double")
+    last = {(a, b): k for k, a, b in sites}
+    want = {}
+    for k, x, y in [q for q in points if q[1] is not None]:
+        near = min((math.sqrt((x - a) ** 2 + (y - b) ** 2), -i) for (a, b), i in last.items())
+        if near[0] <= 5 and (k not in want or near < (want[k][1], -want[k][0])):
+            want[k] = (-near[1], round(near[0], 9))
+    got = spatial.nearest(p, s, [], "p", "s", "x", "y", 5.0)
+    assert {r.p: (r.s, round(r.distance, 9)) for r in got.collect()} == want and 500 < len(want) < 1500
+    parts = spatial.nearest(p, s, [], "p", "s", "x", "y", 5.0, most=40)
+    assert {r.p: (r.s, round(r.distance, 9)) for r in parts.collect()} == want
+
+
+def test_nearest_looks_at_few_of_the_sites_within_reach():
+    """Points between crowds of sites and in them; steps that hold few pairs give the same."""
+    rng = np.random.default_rng(4)
+    sx, sy = np.floor(rng.uniform(0, 40, 6000)) // 2 * 2 + rng.uniform(0, 0.3, 6000), rng.integers(0, 30, 6000) * 1.0
+    px, py = rng.uniform(-8, 50, 900), rng.uniform(-8, 40, 900)
+    d = np.sqrt((px[:, None] - sx) ** 2 + (py[:, None] - sy) ** 2)
+    want = np.where(d.min(axis=1) <= 5, d.argmin(axis=1), -1)
+    for most in (1_000_000, 50):
+        at, far = spatial.nearest_places(px, py, sx, sy, 5.0, most)
+        assert (at == want).all() and (far[at >= 0] == d.min(axis=1)[at >= 0]).all() and 300 < (at >= 0).sum() < 900
+    at, far = spatial.nearest_places(px, py, np.ones(9), np.ones(9), 5.0)
+    assert set(at) == {-1, 8}
