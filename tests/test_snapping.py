@@ -103,3 +103,15 @@ def test_inserted(spark):
     before = distances([(a, b, math.dist(at[a], at[b])) for _, a, b, *_ in edges], "n00")
     after = distances([(r.a, r.b, math.dist((r.ax, r.ay), (r.bx, r.by))) for r in rows], "n00")
     assert all(abs(before[v] - after[v]) < 1e-6 for v in before) and after.keys() == known.keys()
+
+
+def test_equal_places_and_aisles_look_once(spark, monkeypatch):
+    """Many points on two places, many aisles between the same ends: one look for each place, the smallest aisle wins."""
+    looked, whole = [], sn.first_hits
+    monkeypatch.setattr(sn, "first_hits", lambda rays, *rest: looked.append(rays.count()) or whole(rays, *rest))
+    points = spark.createDataFrame([(k, 50.0 if k % 2 else 500.0, 10.0) for k in range(60)], "pid int, x double, y double")
+    shelves = spark.createDataFrame([(k, 50.0, 0.0, 100.0, 40.0, 0.0) for k in range(5)], "shelf int, x double, y double, w double, h double, turn double")
+    aisles = spark.createDataFrame([(k, 0.0, 9000.0, 900.0, 9000.0) for k in range(9, 2, -1)], "aisle int, ax double, ay double, bx double, by double")
+    got = {(r.pid, r.aisle, r.x, r.y) for r in sn.snapped(points, shelves, aisles).collect()}
+    assert got == {(k, 3, 50.0 if k % 2 else 500.0, 9000.0) for k in range(60)}
+    assert looked == [2]
