@@ -1,6 +1,7 @@
 """Queries over all users, sessions and cells against brute force."""
 
 import math
+import random
 from collections import defaultdict
 
 from lodepath.plans.all_queries import QUERIES
@@ -31,3 +32,22 @@ def test_grids_of_all_cells(spark, sf_dir):
     healed = {(r.row, r.col): r.n for r in QUERIES["grid_heal_all"](spark, sf_dir).where("action in ('keep', 'merge', 'conflict')").collect()}
     want = {(r.row, r.col): r["count"] for r in cells(spark, sf_dir).where("session < 2").groupBy("row", "col").count().collect()}
     assert healed == want
+
+
+def test_blocks_give_what_the_joined_rows_give(spark):
+    """Blocks of both sides, tags that are null or known to one side only, readings that are null; against the join of rows."""
+    from lodepath.operators import radio
+
+    rng = random.Random(6)
+    o = [(f"o{k}", t, rng.choice([None, -40.0, rng.uniform(-90, -30)])) for k in range(40) for t in rng.sample([None, *range(12)], 6)] + [("alone", 99, -50.0)]
+    r = [(k, t, rng.choice([None, -80.0]), rng.choice([None, -50.0, rng.uniform(-50, -40)])) for k in range(50) for t in rng.sample([None, *range(3, 20)], 5)]
+    o, r = spark.createDataFrame(o, "o string, t int, rssi double"), spark.createDataFrame(r, "q bigint, t int, low double, high double")
+    got = radio.posteriors(o, r, "o", "q", "t", 0.5, 0.25, block=16)
+    plain = radio.log_likelihood(o, r, "o", "q", "t", 0.5, 0.25)
+    a = {(x.o, x.q): round(x.ll, 9) for x in plain.collect()}
+    top = {}
+    for (k, _), v in a.items():
+        top[k] = top.get(k, 0.0) + math.exp(v)
+    rows = got.toDF("o", "place", "ll", "share").collect()
+    assert {(x.o, x.place): round(x.ll, 9) for x in rows} == a and len(rows) == len(a) > 500
+    assert all(abs(x.share - math.exp(x.ll) / top[x.o]) < 1e-9 for x in rows)
